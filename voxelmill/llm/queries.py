@@ -79,7 +79,7 @@ WITH RECURSIVE v AS (
 ), good AS (
   SELECT vec_id, label, e FROM v
   WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
