@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0,
     chosen = ids.where("y is not null").orderBy(h, id_col).limit(max_labelled).unionByName(ids.where("y is null").orderBy(h, id_col).limit(max_unlabelled))
     got = rows.join(F.broadcast(chosen), id_col).toArrow().sort_by([(id_col, "ascending"), ("text", "ascending")])  # chosen: the two limits' rows
     texts = got["text"].to_pylist()
-    meta = np.array([layout(*x) for x in zip(texts, got["source"].to_pylist(), got["lang"].to_pylist(), strict=True)], np.float32).reshape(len(texts), -1)
+    meta = np.array([layout(*x) for x in zip(texts, got["source"].to_pylist(), got["lang"].to_pylist(), strict=True)], np.float32).reshape(len(texts), 8 + HASHED)
     return cotrain(texts, meta, np.array([-1 if v is None else v for v in got["y"].to_pylist()]))
 
 
