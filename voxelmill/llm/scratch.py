@@ -1,45 +1,5 @@
 """Intermediate tables in the folder that every machine of the cluster shares."""
 
-from __future__ import annotations
+from ..scratch import Scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh local folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN:
-        _OWN[key] = "file://" + tempfile.mkdtemp(prefix="voxelmill-")
-    return _OWN[key]
-
-
-class Scratch:
-    """Names, writes and removes the tables of one run. A table cuts the lineage: lost executors cost no recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/voxelmill-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]
