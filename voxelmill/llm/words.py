@@ -38,6 +38,9 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self._ids)
 
+    def words(self) -> list:
+        return list(self._ids)
+
     def number(self, words: list) -> np.ndarray:
         return np.fromiter(map(self._ids.__getitem__, words), dtype=np.int64, count=len(words))
 
