@@ -11,13 +11,14 @@ above the threshold come back. Each is verified by the words of question and ans
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import keep_where
 from .words import ASCII_WORDS, slices
 
 
@@ -45,15 +46,20 @@ class Bm25Index:
         df = Counter(int(x) for w in self.items for x in set(w.tolist()))
         mean = np.mean([len(w) for w in self.items]) if n else 1.0
         self.blocks = -(-n // block) if n else 0
-        self.postings = [defaultdict(list) for _ in range(self.blocks)]  # by block: term -> [(item, share)]
+        postings: list = [[] for _ in range(t)]
         self.block_max = np.zeros((t + 1, max(1, self.blocks)), np.float32)
         for i, w in enumerate(self.items):
             part = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(w) / mean)) for x, f in Counter(w.tolist()).items()}
             whole = sum(part.values()) or 1.0
             for x, v in part.items():
-                self.postings[i // block][x].append((i, v / whole))
+                postings[x].append((i, v / whole))
                 self.block_max[x, i // block] = max(self.block_max[x, i // block], v / whole * (1 + 1e-6))
         self.list_max = self.block_max.max(axis=1)
+        # posting lists one after the other, each in the order of items and so of blocks
+        self.size = np.array([len(x) for x in postings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.item = np.array([i for x in postings for i, _ in x], np.int64)
+        self.share = np.array([v for x in postings for _, v in x], np.float64)
 
     def number(self, words: list[bytes]) -> np.ndarray:
         get, other = self.terms.get, len(self.terms)
@@ -61,18 +67,18 @@ class Bm25Index:
 
     def retrieve(self, passage: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(item, share) of every item whose share reaches the threshold; passage: term numbers."""
-        terms = np.unique(passage)
-        terms = terms[terms < len(self.terms)]
+        terms = np.unique(passage[passage < len(self.terms)])
         if self.list_max[terms].sum() < threshold:
             return []
-        out = []
-        for k in np.flatnonzero(self.block_max[terms].sum(axis=0) >= threshold):
-            scores: defaultdict = defaultdict(float)
-            for t in terms.tolist():
-                for item, v in self.postings[k].get(t, ()):
-                    scores[item] += v
-            out += [(i, s) for i, s in scores.items() if s >= threshold]
-        return out
+        alive = self.block_max[terms].sum(axis=0) >= threshold
+        if not alive.any():
+            return []
+        n = self.size[terms]
+        at = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        if not alive.all():
+            at = at[alive[self.item[at] // self.block]]
+        scores = np.bincount(self.item[at], self.share[at], len(self.ids))
+        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold)]
 
     def overlap(self, item: int, words: np.ndarray, run: int = 5) -> tuple[float, float, float]:
         """Shares of the question's, the answer's and all words that lie in runs common with ``words``."""
@@ -92,7 +98,10 @@ def passages(n: int, step: int) -> np.ndarray:
     return np.arange(max(1, -(-(n - step) // step))) * step
 
 
-def _search(index: Bm25Index, threshold: float, least: float, step: int):
+def _leaks(index: Bm25Index, threshold: float, least: float):
+    """A function from texts to the (row, item, share, question overlap, answer overlap) of their leaks."""
+    step = max(64, index.longest)
+
     def leaks(texts: list):
         ids = [index.number(split(t)) for t in texts]
         flat = np.concatenate([*ids, np.empty(0, np.int64)])
@@ -114,6 +123,12 @@ def _search(index: Bm25Index, threshold: float, least: float, step: int):
             for item, (share, q, a) in found.items():
                 yield row, index.ids[item], share, q, a
 
+    return leaks
+
+
+def _search(index: Bm25Index, threshold: float, least: float):
+    leaks = _leaks(index, threshold, least)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 500, 4 << 20):
@@ -124,37 +139,49 @@ def _search(index: Bm25Index, threshold: float, least: float, step: int):
     return run
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
-    threshold: float = 0.5, least: float = 0.8, max_items: int = 20_000,
-) -> DataFrame:
+def indexes(benchmark: DataFrame, item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, max_items: int = 20_000):
+    """Indexes of at most about ``max_items`` items each over all items with an id and words."""
+    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(question_col).cast("string").alias("q"), answer.alias("a")).where("q is not null and i is not null")
+    shards = max(1, -(-items.count() // max_items))
+    for shard in range(shards):
+        got = items.where(F.pmod(F.xxhash64("i", "q"), F.lit(shards)) == shard).toArrow().sort_by([("i", "ascending"), ("q", "ascending")])
+        got = [x for x in zip(*(got[c].to_pylist() for c in "iqa"), strict=True) if split(x[1])]
+        yield Bm25Index(*([x[c] for x in got] for c in range(3)))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least: float = 0.8, **options) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leaked item in every document.
 
     An item counts as leaked when a passage scores at least ``threshold`` of the item's own BM25 score and, in runs
     of five words (fewer in shorter items), at least ``least`` of the question's words and half of the answer's, or
     ``least`` of all its words, recur there. Without an answer column the last fifth of an item's words is its answer.
     Case and ASCII punctuation do not count. Null and empty documents hold nothing; items that are null or empty leak
-    nowhere; repeated rows are searched each. An index holds at most ``max_items`` items, which bounds what is sent to
+    nowhere; repeated rows are searched each. Options are those of ``indexes``: one holds at most ``max_items`` items, which bounds what is sent to
     the executors; more items make more indexes, each searched with all documents.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(question_col).cast("string").alias("q"), answer.alias("a")).where("q is not null and i is not null")
-    shards = max(1, -(-items.count() // max_items))
     rows, out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), None
-    for shard in range(shards):
-        got = items.where(F.pmod(F.xxhash64("i", "q"), F.lit(shards)) == shard).toArrow().sort_by([("i", "ascending"), ("q", "ascending")])
-        got = [x for x in zip(*(got[c].to_pylist() for c in "iqa"), strict=True) if split(x[1])]
-        index = Bm25Index(*([x[c] for x in got] for c in range(3)))
-        shared = spark.sparkContext.broadcast(index)
-        step = max(64, index.longest)
-        found = rows.mapInArrow(lambda it, s=shared, step=step: _search(s.value, threshold, least, step)(it), f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+    for index in indexes(benchmark, **options):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        found = rows.mapInArrow(lambda it, s=shared: _search(s.value, threshold, least)(it), f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs in which no item leaked; rows with a null id stay."""
-    bad = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.5, least: float = 0.8, **options) -> DataFrame:
+    """The rows of docs in which no item leaked, in one pass over docs for each index."""
+    for index in indexes(benchmark, **options):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def judge(shared=shared):
+            leaks = _leaks(shared.value, threshold, least)
+
+            def clear(texts):
+                hit = {row for row, *_ in leaks(texts)}
+                return [i not in hit for i in range(len(texts))]
+
+            return clear
+
+        docs = keep_where(docs, judge, text_col)
+    return docs
