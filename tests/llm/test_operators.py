@@ -262,7 +262,7 @@ def test_round_robin_state():
     state = packing.served(np.arange(0, 1001), totals)
     assert (state.sum(axis=1) == np.arange(1001)).all() and state[-1].tolist() == totals and (np.diff(state, axis=0) >= 0).all()
     assert np.abs(state - np.arange(1001)[:, None] * np.array(totals) / 1000).max() < 2
-    order = sorted(((k + 1) / t, s) for s, t in enumerate(totals) for k in range(t))
+    order = sorted(((k + 0.5) / t, s) for s, t in enumerate(totals) for k in range(t))
     assert state[400].tolist() == [sum(s == x for _, s in order[:400]) for x in range(5)]
     big = [10**13, 3 * 10**12 + 7, 5]
     cut = packing.served(np.array([0, 10**12, 10**12 + 2048, sum(big)]), big)

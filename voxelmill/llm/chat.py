@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import PieceTokenizer
+from .packing import tokenizer_of
 
 CONTROL = ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<<ROLE>>", "<</ROLE>>", "<</TURN>>")
 _FORM = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -121,7 +121,7 @@ def _format(path: str, budget: int, history: int, names: list, kind: pa.DataType
     schema = [kind, pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):
-        tokenizer, now, out = PieceTokenizer(path), None, []
+        tokenizer, now, out = tokenizer_of(path), None, []
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(schema)], names=names)
         for batch in batches:
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):

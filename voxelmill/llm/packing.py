@@ -10,6 +10,10 @@ With the corpus's own proportions as targets all queues run dry together; only t
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import re
 import zlib
 
 import numpy as np
@@ -22,51 +26,100 @@ from .scratch import Scratch
 from .words import GrowingTable, Vocabulary, slices
 
 
+#: Basic and Latin letters whose lower case is one letter.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
 class PieceTokenizer:
     """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer never joins text across white space.
 
     Pieces between white space are encoded once and remembered (at most ``cap`` of them).
     """
 
-    def __init__(self, path: str, cap: int = 400_000):
+    def __init__(self, path: str, cap: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; waiting threads would burn others
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._ends = np.array([self._tokenizer.id_to_token(i).endswith("</w>") for i in range(self._tokenizer.get_vocab_size())])
         self._vocab = Vocabulary(cap)
-        self._reset()
-
-    def _reset(self):
-        self._flat, self._start, self._len = GrowingTable(None, np.uint32), GrowingTable(None, np.int64), GrowingTable(None, np.int64)
+        self._flat, self._start, self._len, self._hits = GrowingTable(None, np.uint32), GrowingTable(None, np.int64), GrowingTable(None, np.int64), GrowingTable(None, np.int64)
+
+    def _forget(self) -> None:
+        """Above ``cap`` pieces, keeps those seen again since the last time, at most half of ``cap``."""
+        if len(self._vocab) <= self._vocab.cap:
+            return
+        hits, words = self._hits.rows, self._vocab.words()
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > self._vocab.cap // 2:
+            keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[: self._vocab.cap // 2]])
+        n, start = self._len.rows[keep], self._start.rows[keep]
+        flat = self._flat.rows[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        self._vocab = Vocabulary(self._vocab.cap)
+        self._vocab.number([words[i] for i in keep])
+        self._vocab.fresh()
+        self._flat, self._start, self._len, self._hits = GrowingTable(None, np.uint32), GrowingTable(None, np.int64), GrowingTable(None, np.int64), GrowingTable(None, np.int64)
+        for table, rows in ((self._flat, flat), (self._start, np.cumsum(n) - n), (self._len, n), (self._hits, np.zeros(len(keep), np.int64))):
+            table.append(rows)
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        return [self._one(t) for t in texts]
-
-    def _one(self, text) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if self._vocab.renew():
-            self._reset()
-        at = self._vocab.number(text.encode("utf-8", "surrogatepass").split())
+        self._forget()
+        pieces = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        at = self._vocab.number(list(itertools.chain.from_iterable(pieces)))
         if new := self._vocab.fresh():
-            ids = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._start.append(self._flat.n + np.cumsum(n) - n)
-            self._len.append(n)
-            self._flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
+            self._learn([w.decode("utf-8", "replace") for w in new])
+            self._hits.append(np.zeros(len(new), np.int64))
+        np.add.at(self._hits.rows, at, 1)
         n, start = self._len.rows[at], self._start.rows[at]
-        return self._flat.rows[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        end = np.cumsum(n)
+        ids = self._flat.rows[np.repeat(start - (end - n), n) + np.arange(int(n.sum()))]
+        stop = np.concatenate([[0], end])[np.cumsum([len(p) for p in pieces])] if pieces else []
+        return np.split(ids, stop[:-1]) if pieces else []
+
+    def _learn(self, words: list) -> None:
+        """Words of letters alone are one pre-token each, whose last id marks its end, so they are encoded as one text."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        ids = np.array(self._tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+        stop = np.flatnonzero(self._ends[ids]) + 1
+        if len(stop) != len(plain):
+            plain, ids, stop = [], ids[:0], stop[:0]
+        known, other = set(plain), []
+        if plain:
+            other = [i for i, w in enumerate(words) if w not in known]
+        else:
+            other = list(range(len(words)))
+        rest = [e.ids for e in self._tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
+        n = np.zeros(len(words), np.int64)
+        where = np.ones(len(words), bool)
+        where[other] = False
+        n[where] = np.diff(stop, prepend=0)
+        n[other] = [len(x) for x in rest]
+        start = np.empty(len(words), np.int64)
+        base = self._flat.n
+        start[where] = base + np.concatenate([[0], stop[:-1]]) if len(stop) else []
+        m = n[other]
+        start[other] = base + len(ids) + np.cumsum(m) - m
+        self._flat.append(np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(rest), np.uint32, int(m.sum()))]))
+        self._start.append(start)
+        self._len.append(n)
 
     def count(self, text) -> int:
-        return len(self._one(text))
+        return len(self.encode([text])[0])
+
+
+@functools.cache
+def tokenizer_of(path: str) -> PieceTokenizer:
+    """One for all tasks that a worker process runs; what it remembers changes no result."""
+    return PieceTokenizer(path)
 
 
 def _tokenize(path: str, end_id: int, queues: int):
     """(doc, ids, n, part, queue, start): a document's ids and its place in its queue, within this partition."""
 
     def run(batches):
-        tokenizer, part, at = PieceTokenizer(path), TaskContext.get().partitionId(), {}
+        tokenizer, part, at = tokenizer_of(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 200, 4 << 20):
                 ids = [np.append(x, np.uint32(end_id)) for x in tokenizer.encode(piece.column(1).to_pylist())]
                 queue = piece.column(2).to_pylist()
                 start = []
@@ -85,17 +138,18 @@ def _tokenize(path: str, end_id: int, queues: int):
 def served(tokens: np.ndarray, totals: list[int]) -> np.ndarray:
     """State of the round-robin after so many tokens: rows by entry of ``tokens``, columns by queue.
 
-    Token k of queue s is due at (k + 1) / totals[s]; queues are served in the order of due times, then of s.
+    Token k of queue s is due at (k + 1/2) / totals[s]; queues are served in the order of due times, then of s. A
+    queue's deficit against its exact share stays within half a token for each other queue, about one in practice.
     """
     whole = sum(totals)
     out = np.empty((len(tokens), len(totals)), np.int64)
     for s, t in enumerate(totals):  # what is due for certain; exact in Python's integers
-        out[:, s] = [max(0, int(n) * t // whole - 1) for n in tokens]
+        out[:, s] = [max(0, (t * (2 * int(n) - len(totals)) + whole) // (2 * whole) - 1) for n in tokens]
     size = np.array(totals, np.float64)
     left = tokens - out.sum(axis=1)
     rows = np.flatnonzero(left > 0)
     while len(rows):
-        due = np.where(out[rows] < np.array(totals), (out[rows] + 1) / np.maximum(size, 1), np.inf)
+        due = np.where(out[rows] < np.array(totals), (out[rows] + 0.5) / np.maximum(size, 1), np.inf)
         out[rows, due.argmin(axis=1)] += 1
         left[rows] -= 1
         rows = rows[left[rows] > 0]
