@@ -3,14 +3,15 @@
 The product D x D' counts, for every pair of documents, the n-grams they share. Only pairs whose overlap can
 reach the size-derived bound ``ceil(t / (1 + t) * (|x| + |y|))`` matter, so the product is taken over the
 columns that such a pair must share: in any global order of n-grams, two sets with Jaccard t share one of the
-first ``|x| - ceil(t|x|) + 1`` n-grams. The order puts n-grams that are frequent anywhere in the corpus last
-(a counting pass over all documents, kept as a bitmap of fixed size), which keeps columns short; the order
-never decides a result. Blocks of the product are columns with at least two documents:
+first ``|x| - ceil(t|x|) + 1`` n-grams. The order goes by four levels of corpus frequency (a counting pass over all
+documents, kept in two bits for each of a fixed number of slots), rare n-grams first, which keeps columns short;
+the order never decides a result. Blocks of the product are columns with at least two documents:
 
 1. each document is multiplied with the column head it shares most columns with (one pair a document);
 2. components so far are contracted; columns that still hold two components give all remaining pairs
-   across components that pass the size and position bounds;
-3. full overlaps of those pairs are accumulated from the whole n-gram sets and pairs under the bound dropped.
+   across components that pass the size and position bounds, and their counts of shared columns, which bound the
+   overlap from above; pairs under the size-derived bound are dropped;
+3. full overlaps of what is left are accumulated from the whole n-gram sets and held against the bound again.
 
 Pairs inside a component already proven are skipped: they cannot change the result. Documents with equal
 sets are linked by a signature, not by pairs.
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .rows import without_ids
 from .scratch import Scratch
 from .words import ASCII_LOWER, GrowingTable, Vocabulary, hash64, shingle_set, slices
 
-#: Counters of the frequency pass and bits of its bitmap; fixed, so the bitmap (512 KB) never grows with the data.
+#: Counters of the frequency pass; fixed, so the levels (1 MB) never grow with the data.
 SLOTS = 1 << 22
+#: Counts from which the levels 1, 2 and 3 begin.
+LEVELS = (8, 64, 512)
 #: Bits of the filter over candidate documents; fixed.
 CANDIDATE_BITS = 1 << 23
 
@@ -58,18 +62,17 @@ def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both) and both > 0
 
 
-def _scan(k: int, share: float):
-    """Signature of each document, and the counter slots that are frequent in this partition."""
+def _scan(k: int):
+    """Signature of each document, and the counter slots that stand out in this partition, with their counts."""
 
     def run(batches):
-        shingler, counts, n_docs = _Shingler(k), np.zeros(SLOTS, np.int32), 0
+        shingler, counts = _Shingler(k), np.zeros(SLOTS, np.int32)
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingler.sets(part.column(1).to_pylist()))
                 sig = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
                 if sets:
                     np.add.at(counts, (np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-                n_docs += len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                      pa.array(np.array([x >> 64 for x in sig], np.uint64).view(np.int64)),
@@ -77,14 +80,16 @@ def _scan(k: int, share: float):
                      pa.nulls(len(sets), pa.int32())],
                     names=["doc", "n", "sig_a", "sig_b", "slot"],
                 )
-        slot = np.flatnonzero(counts >= max(12, share * n_docs)).astype(np.int32)
+        # above what chance collisions of slots make
+        mean = counts.mean()
+        slot = np.flatnonzero(counts >= max(2, int(mean + 4 * np.sqrt(mean)) + 1)).astype(np.int32)
         none = pa.nulls(len(slot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(slot), pa.int32()), none, none, pa.array(slot)], names=["doc", "n", "sig_a", "sig_b", "slot"])
+        yield pa.RecordBatch.from_arrays([none, pa.array(counts[slot]), none, none, pa.array(slot)], names=["doc", "n", "sig_a", "sig_b", "slot"])
 
     return run
 
 
-def _columns(k: int, percent: int, frequent: np.ndarray):
+def _columns(k: int, percent: int, levels: np.ndarray):
     """(gram, doc, n, pos): the incidence matrix over the columns that a linked pair must share."""
 
     def run(batches):
@@ -102,8 +107,7 @@ def _columns(k: int, percent: int, frequent: np.ndarray):
                         seen.add(sig)
                     p = len(s) - _need(len(s), percent) + 1
                     slot = (s & np.uint64(SLOTS - 1)).astype(np.int64)
-                    common = (frequent[slot >> 3] >> (slot & 7)) & 1
-                    first = np.concatenate([s[common == 0][:p], s[common == 1][: max(0, p - int((common == 0).sum()))]])
+                    first = s[np.argsort((levels[slot >> 2] >> (2 * (slot & 3))) & 3, kind="stable")[:p]]
                     grams.append(first)
                     docs.append(np.full(len(first), doc, np.int64))
                     sizes.append(np.full(len(first), len(s), np.int32))
@@ -156,7 +160,7 @@ def _verify(percent: int):
     return run
 
 
-def _bitmap(df: DataFrame, bits: int) -> np.ndarray:
+def bitmap(df: DataFrame, bits: int) -> np.ndarray:
     """Bits named by column ``bit`` of df as bytes; at most bits / 8 rows reach the driver."""
     out = np.zeros(bits // 8, np.uint8)
     rows = df.select(F.expr("bit div 8").alias("byte"), F.expr("shiftleft(1, cast(bit % 8 as int))").alias("one")).groupBy("byte").agg(F.bit_or("one").alias("ones"))
@@ -170,7 +174,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Sc
     spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
     bit = F.col("doc").bitwiseAND(F.lit(CANDIDATE_BITS - 1))
-    wanted = spark.sparkContext.broadcast(_bitmap(ids.select(bit.alias("bit")), CANDIDATE_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap(ids.select(bit.alias("bit")), CANDIDATE_BITS))
     sets = docs.mapInArrow(lambda it, w=wanted: _sets(k, w.value)(it), "doc long, grams binary").join(ids.distinct(), "doc", "left_semi")
     sets = scratch.table(sets.dropDuplicates(["doc"]), "sets")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("parts"))
@@ -180,7 +184,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Sc
     return scratch.table(rows.select("a", "b", "grams").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, frequent_share: float = 0.001) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs``.
 
     Two documents link when 100 * |x & y| >= percent * |x | y| over their distinct ``words``-word shingles of
@@ -191,20 +195,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    scan = scratch.table(docs.mapInArrow(_scan(words, frequent_share), "doc long, n int, sig_a long, sig_b long, slot int"), "scan")
+    scan = scratch.table(docs.mapInArrow(_scan(words), "doc long, n int, sig_a long, sig_b long, slot int"), "scan")
     sizes = scan.where("slot is null").select("doc", "n", "sig_a", "sig_b")
-    frequent = spark.sparkContext.broadcast(_bitmap(scan.where("slot is not null").select(F.col("slot").cast("long").alias("bit")), SLOTS))
+    often = scan.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0])
+    level = F.when(F.col("n") >= LEVELS[2], F.array(F.lit(0), F.lit(1))).when(F.col("n") >= LEVELS[1], F.array(F.lit(1))).otherwise(F.array(F.lit(0)))
+    levels = spark.sparkContext.broadcast(bitmap(often.select(F.col("slot").cast("long").alias("slot"), F.explode(level).alias("half")).select((F.col("slot") * 2 + F.col("half")).alias("bit")), 2 * SLOTS))
 
     equal = sizes.where("n > 0 and doc is not null").groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("a"), F.max("doc").alias("top"))
     copies = sizes.where("n > 0").join(equal.where("a <> top").drop("top"), ["sig_a", "sig_b", "n"]).where("doc <> a").select("a", F.col("doc").alias("b"))
 
-    cols = scratch.table(docs.mapInArrow(lambda it, f=frequent: _columns(words, percent, f.value)(it), "gram long, doc long, n int, pos int"), "columns")
+    cols = scratch.table(docs.mapInArrow(lambda it, f=levels: _columns(words, percent, f.value)(it), "gram long, doc long, n int, pos int"), "columns")
     # the head of a column is its smallest document; n and id in one long would limit ids, so the id alone decides
     heads = cols.groupBy("gram").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head <> last").drop("last")
     cells = scratch.table(cols.join(heads, "gram"), "cells")
     scratch.drop(cols)
+    # a pair that links shares about (1 - t) / 2 of its n-grams in these columns; weaker ones wait for step 2
     best = (
-        cells.where("doc <> head").groupBy("doc", "head").agg(F.count("*").alias("shared"))
+        cells.where("doc <> head").groupBy("doc", "head").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+        .where(f"300 * shared >= {100 - percent} * n")
         .groupBy("doc").agg(F.max_by("head", F.struct("shared", -F.col("head"))).alias("a"))
         .select("a", F.col("doc").alias("b"))
     )
@@ -221,10 +229,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = x.join(y, "gram").where(
         "docx < docy and cx <> cy"
         f" and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-        # what is left from the shared column on must still reach the bound
-        f" and (100 + {percent}) * least(nx - posx, ny - posy) >= {percent} * (nx + ny)"
     )
-    pairs = scratch.table(both.select(F.col("docx").alias("a"), F.col("docy").alias("b")).distinct(), "pairs")
+    # beyond the columns of the smaller reach, a pair shares at most the rest of that set: ceil(t * n) - 1
+    rest = f"greatest((nx * {percent} + 99) div 100, (ny * {percent} + 99) div 100) - 1"
+    counted = both.groupBy("docx", "docy").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("nx", "ny")), *(F.min(c).alias(c) for c in ("posx", "posy")))
+    # what is left from the first shared column on bounds it too
+    pairs = counted.where(f"(100 + {percent}) * least(shared + {rest}, nx - posx, ny - posy) >= {percent} * (nx + ny)").select(F.col("docx").alias("a"), F.col("docy").alias("b"))
     tried = best.select("a", "b").unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = _linked(scratch.table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), docs, words, percent, scratch)
     final = connected_components(links.unionByName(more), scratch)
@@ -235,4 +245,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of docs whose id is the smallest of their component; the columns stay as they are. Null ids stay."""
     parts = jaccard_components(docs, id_col, text_col, words, percent)
     others = parts.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(others, id_col, "left_anti").select(docs.columns)
+    return without_ids(docs, Scratch(docs.sparkSession).table(others, "others"), id_col)
