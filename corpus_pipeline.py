@@ -8,9 +8,8 @@ with them stands in its docstring.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from voxelmill.llm import decontaminate, language, ngram_join, packing, toxicity
+from voxelmill.llm import decontaminate, language, ngram_join, packing, rows, toxicity
 from voxelmill.llm.queries import tokenizer_path
 from voxelmill.llm.scratch import Scratch
 
@@ -18,22 +17,30 @@ from voxelmill.llm.scratch import Scratch
 LEAST_LANGUAGE_SCORE = 0.3
 
 
-def _without(docs: DataFrame, judged: DataFrame, reject) -> DataFrame:
-    """docs without the rows whose id is judged so; rows without an id stay."""
-    bad = judged.where(reject).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts in none of the learned languages."""
-    judged = language.identify(docs, language.fit(docs))
-    return _without(docs, judged, (F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE))
+    shared = spark.sparkContext.broadcast(language.fit(docs))
+
+    def judge():
+        tables = shared.value.prepared()
+
+        def known(texts):
+            return [lang != "und" and score >= LEAST_LANGUAGE_SCORE for lang, score in zip(*language.predict(texts, shared.value, tables), strict=True)]
+
+        return known
+
+    return rows.keep_where(docs, judge)
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts scored 0.5 or more."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, toxicity.score(docs, model), F.col("score") >= 0.5)
+    shared = spark.sparkContext.broadcast(toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+    def judge():
+        scorer = toxicity.Scorer(shared.value)
+        return lambda texts: (scorer.scores(texts) < 0.5).tolist()
+
+    return rows.keep_where(docs, judge, max_bytes=2 << 20)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
