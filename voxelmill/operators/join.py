@@ -82,9 +82,8 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", d
 def disjoint_counts(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> DataFrame:
     """(id1, n_disjoint): for each object of a, how many of b it has no point in common with."""
     near = spatial_join(a, b, "st_intersects", solid=True, grid=grid).groupBy("id1").agg(F.count("*").alias("n"))
-    total = b.agg(F.count("*").alias("total"))
-    rows = a.select(F.col("object_id").alias("id1")).join(near, "id1", "left").crossJoin(F.broadcast(total))  # one row
-    return rows.select("id1", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n_disjoint"))
+    rows = a.select(F.col("object_id").alias("id1")).join(near, "id1", "left")
+    return rows.select("id1", (F.lit(b.count()) - F.coalesce("n", F.lit(0))).cast("long").alias("n_disjoint"))
 
 
 def pairs_per_tile(a: DataFrame, b: DataFrame, grid: Grid) -> DataFrame:

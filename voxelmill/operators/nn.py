@@ -58,7 +58,7 @@ def candidates(queries: DataFrame, boxes: DataFrame, k: int = 1, by_gap: bool =
     rows = b.select(*(F.col(f"b_{c}").alias(c) for c in MBB)).withColumn("own", F.lit(1)).unionByName(q.select(*(F.col(f"a_{c}").alias(c) for c in MBB)).withColumn("own", F.lit(0)))
     ext = rows.agg(F.sum("own").alias("n"), *(F.min(c).alias(c) for c in LOW), *(F.max(c).alias(c) for c in HIGH), F.avg(F.when(F.col("own") == 1, F.greatest(*(F.col(h) - F.col(lo) for lo, h in zip(LOW, HIGH, strict=True))))).alias("mean")).first()
     if not ext["n"]:
-        return q.crossJoin(b.limit(0)).withColumn("gap2", F.lit(0.0))
+        return q.join(b, F.lit(False)).withColumn("gap2", F.lit(0.0))
     low = [ext[c] for c in LOW]
     side = (max(ext[h] - ext[lo] for lo, h in zip(LOW, HIGH, strict=True)) or 1.0) * (1 + 1e-9)
     # cells of about k + 1 boxes at the finest level, but none smaller than the mean box
