@@ -7,7 +7,8 @@ first ``|x| - ceil(t|x|) + 1`` n-grams. The order goes by four levels of corpus
 documents, kept in two bits for each of a fixed number of slots), rare n-grams first, which keeps columns short;
 the order never decides a result. Blocks of the product are columns with at least two documents:
 
-1. each document is multiplied with the column head it shares most columns with (one pair a document);
+1. each document is multiplied with the column head it shares most columns with (one pair a document); a head is the
+   document of its column with the fewest rare columns, which of near copies is the one most others link to;
 2. components so far are contracted; columns that still hold two components give all remaining pairs
    across components that pass the size and position bounds, and their counts of shared columns, which bound the
    overlap from above; pairs under the size-derived bound are dropped;
@@ -90,13 +91,14 @@ def _scan(k: int):
 
 
 def _columns(k: int, percent: int, levels: np.ndarray):
-    """(gram, doc, n, pos): the incidence matrix over the columns that a linked pair must share."""
+    """(gram, doc, n, pos, alone): the incidence matrix over the columns that a linked pair must share; alone: how many
+    of the document's columns, in thousandths, are rare."""
 
     def run(batches):
         shingler, seen = _Shingler(k), set()
         for batch in batches:
             for part in slices(batch):
-                grams, docs, sizes, places = [], [], [], []
+                grams, docs, sizes, places, alone = [], [], [], [], []
                 for doc, s in zip(part.column(0).to_pylist(), shingler.sets(part.column(1).to_pylist()), strict=True):
                     if doc is None or not len(s):
                         continue
@@ -107,13 +109,16 @@ def _columns(k: int, percent: int, levels: np.ndarray):
                         seen.add(sig)
                     p = len(s) - _need(len(s), percent) + 1
                     slot = (s & np.uint64(SLOTS - 1)).astype(np.int64)
-                    first = s[np.argsort((levels[slot >> 2] >> (2 * (slot & 3))) & 3, kind="stable")[:p]]
+                    level = (levels[slot >> 2] >> (2 * (slot & 3))) & 3
+                    order = np.argsort(level, kind="stable")[:p]
+                    first = s[order]
+                    alone.append(np.full(len(first), 1000 * np.count_nonzero(level[order] == 0) // len(first), np.int32))
                     grams.append(first)
                     docs.append(np.full(len(first), doc, np.int64))
                     sizes.append(np.full(len(first), len(s), np.int32))
                     places.append(np.arange(len(first), dtype=np.int32))
                 if grams:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (docs, sizes, places))], names=["gram", "doc", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (docs, sizes, places, alone))], names=["gram", "doc", "n", "pos", "alone"])
 
     return run
 
@@ -204,10 +209,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     equal = sizes.where("n > 0 and doc is not null").groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("a"), F.max("doc").alias("top"))
     copies = sizes.where("n > 0").join(equal.where("a <> top").drop("top"), ["sig_a", "sig_b", "n"]).where("doc <> a").select("a", F.col("doc").alias("b"))
 
-    cols = scratch.table(docs.mapInArrow(lambda it, f=levels: _columns(words, percent, f.value)(it), "gram long, doc long, n int, pos int"), "columns")
-    # the head of a column is its smallest document; n and id in one long would limit ids, so the id alone decides
-    heads = cols.groupBy("gram").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head <> last").drop("last")
-    cells = scratch.table(cols.join(heads, "gram"), "cells")
+    cols = scratch.table(docs.mapInArrow(lambda it, f=levels: _columns(words, percent, f.value)(it), "gram long, doc long, n int, pos int, alone int"), "columns")
+    # the head of a column is the document with the fewest columns of its own: of near copies, the one closest to all
+    heads = cols.groupBy("gram").agg(F.min_by("doc", "alone").alias("head"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("gram", "head")
+    cells = scratch.table(cols.drop("alone").join(heads, "gram"), "cells")
     scratch.drop(cols)
     # a pair that links shares about (1 - t) / 2 of its n-grams in these columns; weaker ones wait for step 2
     best = (
