@@ -341,6 +341,18 @@ def test_html_rules(spark):
     assert sorted(r.n_chars for r in html_extract.extract_pages(df).collect())[:2] == [0, 0] and html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_articles_that_are_not_the_text():
+    body = f"<div><p>{GOOD} One.</p><p>{GOOD} Two.</p><p>{GOOD} Three.</p></div>"
+    text = "\n".join(f"{GOOD} {n}." for n in ("One", "Two", "Three"))
+    card = f"<article><h3>Teaser</h3><p>{GOOD} Read on.</p></article>"
+    assert html_extract.extract(f"<body>{body}<aside>{card * 2}</aside><ul><li class=comment><article><p>{GOOD} Mine.</p></article></li></ul></body>") == text
+    assert html_extract.extract(f"<body>{body}<article><h3>Teaser</h3></article></body>").startswith(text)
+    assert text in html_extract.extract(f"<body><div>{card * 2}</div>{body}</body>")
+    assert html_extract.extract(f"<body><div role='main'>{body}</div><div><p>{GOOD} Out.</p></div></body>") == text
+    assert html_extract.extract(f"<article>{body}</article><div><p>{GOOD} Out.</p></div>") == text
+    assert html_extract.extract("<article><p>Short.</p></article>") == "Short."
+
+
 # -- 8: n-gram join ---------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,9 @@
 Pass one splits a page at block tags and classifies each block by stop-word density, length and link density as
 good, bad, or, where it is short or in between, undecided. Pass two gives an undecided block the label of its
 nearest decided neighbour (good when the nearest on either side differ and one of them, as near, is good); inside
-an article or main element that neighbour is sought in the element alone. Blocks inside elements that hold no
+an article or main element that neighbour is sought in the element alone. What stands outside a page's main
+element is bad, as is what stands outside its articles where these hold at least half of its good text; elsewhere
+articles are blocks like any other, as they are inside parts without main text. Blocks inside elements that hold no
 main text (navigation, forms, scripts, asides, footers and the like), or whose class or id names such a part, are
 bad whatever their words. Words of languages without a stop-word list count by length and links alone.
 """
@@ -26,6 +28,7 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _NEVER = frozenset("nav footer aside form menu head select button dialog header fieldset".split())
 _MAIN = frozenset(("article", "main"))
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+_ROLE = re.compile(r"(?<![\w-])role\s*=\s*[\"']?\s*main\b", re.I)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|menu|nav\w*|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|comments?|replies|respond|disqus|share|social|related|newsletter|subscribe|popup|modal|widget|toolbar|pagination|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
@@ -38,11 +41,12 @@ STOP_WORDS = frozenset(
 )
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters of it inside links, inside a part without main text, number of its article or 0)."""
+def blocks(page: str) -> tuple[list[tuple[str, int, bool, int]], set[int]]:
+    """(text, characters of it inside links, inside a part without main text, number of its article or 0), and which
+    of these numbers are main elements."""
     out, text, linked, links = [], [], 0, 0
     stack: list[tuple[str, bool, int]] = []
-    never, main, mains = 0, 0, 0
+    never, main, mains, firm = 0, 0, 0, set()
 
     def close():
         nonlocal text, linked
@@ -76,17 +80,20 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         if name in _VOID or m[4].endswith("/"):
             continue
         if not m[2]:
-            bad = name in _NEVER and not (name == "header" and main) or name not in ("html", "body", *_MAIN) and bool(_part(m[4]))
-            if name in _BLOCK or name in _NEVER or bad:
+            only = name == "main" or bool(_ROLE.search(m[4]))
+            bad = name in _NEVER and not (name == "header" and main) or not only and name not in ("html", "body", *_MAIN) and bool(_part(m[4]))
+            if name in _BLOCK or name in _NEVER or bad or only:
                 if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends at the next
                     never -= stack.pop()[1]
-                if bad and name not in _BLOCK:
+                if (bad or only) and name not in _BLOCK:
                     close()
                 stack.append((name, bad, main))
                 never += bad
-                if name in _MAIN and not main:
+                if (only or name == "article") and not main and not never:
                     mains += 1
                     main = mains
+                    if only:
+                        firm.add(main)
         elif any(x[0] == name for x in stack):
             if name not in _BLOCK and name not in _NEVER:
                 close()
@@ -98,7 +105,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
                     break
     text.append(page[at:])
     close()
-    return out
+    return out, firm
 
 
 def _part(attributes: str) -> bool:
@@ -126,11 +133,17 @@ def extract(page: str | None) -> str:
     """Main text: its blocks in page order, one a line."""
     if not page:
         return ""
-    found = blocks(page)
+    found, firm = blocks(page)
     label = [first_pass(*b) for b in found]
-    mains = {b[3] for b in found if b[3]}
-    if mains:  # what stands outside a page's articles is not the article
-        label = [x if b[3] else BAD for x, b in zip(label, found, strict=True)]
+    if any(b[3] for b in found):
+        good = [0, 0]
+        for (body, _, _, main), x in zip(found, label, strict=True):
+            good[main > 0] += len(body) * (x == GOOD)
+        if good[1] >= good[0] or any(b[3] in firm and not b[2] for b in found):  # what stands outside is not the article
+            label = [x if b[3] else BAD for x, b in zip(label, found, strict=True)]
+        else:  # these are teasers or the like
+            found = [(*b[:3], 0) for b in found]
+            label = [first_pass(*b) for b in found]
     out = []
     for i, (body, _, _, main) in enumerate(found):
         kind = label[i]
