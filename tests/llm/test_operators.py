@@ -353,6 +353,22 @@ def test_html_articles_that_are_not_the_text():
     assert html_extract.extract("<article><p>Short.</p></article>") == "Short."
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Nel pomeriggio i bambini giocavano davanti alla casa dei nonni, mentre gli adulti parlavano della vendemmia e delle piogge che erano cadute.",
+        "Вечером дети играли перед домом, а взрослые говорили об урожае и о дождях, которые шли почти всю прошлую неделю в этих местах.",
+        "傍晚孩子们在房子前面玩耍，大人们谈论着收成和上个星期几乎一直在下的雨。村里的老人说，这样的天气已经很多年没有见过了，今年的稻子恐怕要晚一些才能收割，大家都有些担心。",
+    ],
+)
+def test_html_of_languages_without_stop_words(text):
+    links = f"<p><a href=x>{text}</a></p>"
+    for outer in ("div", "article"):
+        got = html_extract.extract(f"<body><nav><a href=x>Menu</a></nav><{outer}><p>{text} 1</p>{links}<p>{text} 2</p></{outer}><footer>{text}</footer></body>")
+        assert got == f"{text} 1\n{text} 2"
+    assert html_extract.extract(f"<p>{GOOD}</p><p>{text}</p><p>{GOOD} {GOOD}</p><p>{GOOD} {GOOD} {GOOD}</p><footer>{text}</footer>").split("\n")[1] == text
+
+
 # -- 8: n-gram join ---------------------------------------------------------------------------------------------
 
 

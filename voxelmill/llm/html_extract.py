@@ -7,7 +7,9 @@ an article or main element that neighbour is sought in the element alone. What s
 element is bad, as is what stands outside its articles where these hold at least half of its good text; elsewhere
 articles are blocks like any other, as they are inside parts without main text. Blocks inside elements that hold no
 main text (navigation, forms, scripts, asides, footers and the like), or whose class or id names such a part, are
-bad whatever their words. Words of languages without a stop-word list count by length and links alone.
+bad whatever their words. On a page whose long blocks hold almost no stop words (a language without a list, or
+lists, tables and code) long blocks with few links are good by length and links alone; on others such a block without
+stop words is undecided.
 """
 
 from __future__ import annotations
@@ -115,18 +117,29 @@ def _part(attributes: str) -> bool:
 GOOD, BAD, OPEN = 1, 0, 2
 
 
-def first_pass(text: str, linked: int, never: bool, main: int, short: int = 70, long: int = 200, links: float = 0.33, dense: float = 0.3, thin: float = 0.1) -> int:
-    if never:
-        return BAD
-    if linked / max(1, len(text)) > links:
-        return BAD
-    if len(text) < short:
-        return OPEN
+#: Blocks of fewer characters are short.
+SHORT = 70
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text."""
     words = text.lower().split()
-    share = sum(w.strip(".,;:!?#$%&*|\"'()") in STOP_WORDS for w in words) / len(words)
-    if share >= dense or share >= thin and (len(text) > long or main):
-        return GOOD
-    return OPEN if main or share >= thin else BAD
+    return sum(w.strip(".,;:!?#$%&*|\"'()") in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(found: list, long: int = 200, links: float = 0.33, dense: float = 0.3, thin: float = 0.1, listed: float = 0.2) -> list[int]:
+    """The labels of a page's blocks. Below a share ``listed`` of stop words in all its long, link-poor blocks they
+    say nothing about the page."""
+    label, counts = [], {}
+    for i, (text, linked, never, _) in enumerate(found):
+        label.append(BAD if never or linked / max(1, len(text)) > links else OPEN)
+        if label[i] == OPEN and len(text) >= SHORT:
+            counts[i] = stop_words(text)
+    unlisted = sum(n for n, _ in counts.values()) < listed * sum(n for _, n in counts.values())
+    for i, (n, words) in counts.items():
+        if unlisted or n >= dense * words or n >= thin * words and (len(found[i][0]) > long or found[i][3]):
+            label[i] = GOOD
+    return label
 
 
 def extract(page: str | None) -> str:
@@ -134,7 +147,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found, firm = blocks(page)
-    label = [first_pass(*b) for b in found]
+    label = first_pass(found)
     if any(b[3] for b in found):
         good = [0, 0]
         for (body, _, _, main), x in zip(found, label, strict=True):
@@ -143,7 +156,8 @@ def extract(page: str | None) -> str:
             label = [x if b[3] else BAD for x, b in zip(label, found, strict=True)]
         else:  # these are teasers or the like
             found = [(*b[:3], 0) for b in found]
-            label = [first_pass(*b) for b in found]
+            label = first_pass(found)
+    filled = {b[3] for b, x in zip(found, label, strict=True) if x == GOOD}
     out = []
     for i, (body, _, _, main) in enumerate(found):
         kind = label[i]
@@ -155,6 +169,8 @@ def extract(page: str | None) -> str:
                 kind = GOOD if any(x == (least, GOOD) for x in near) else BAD
             else:  # nothing decided: an article's own words stay
                 kind = GOOD if main else BAD
+            if main and main not in filled and len(body) >= SHORT:  # links beside an article's words don't decide them
+                kind = GOOD
         if kind == GOOD:
             out.append(body)
     return "\n".join(out)
