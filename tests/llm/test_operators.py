@@ -369,6 +369,20 @@ def test_html_of_languages_without_stop_words(text):
     assert html_extract.extract(f"<p>{GOOD}</p><p>{text}</p><p>{GOOD} {GOOD}</p><p>{GOOD} {GOOD} {GOOD}</p><footer>{text}</footer>").split("\n")[1] == text
 
 
+def test_html_wrappers_named_like_parts():
+    paragraphs, text = f"<p>{GOOD} One.</p><p>{GOOD} Two.</p>", f"{GOOD} One.\n{GOOD} Two."
+    for wrap in ("class=no-sidebar", "class='layout-sidebar-right'", 'class="elementor-widget elementor-widget-text-editor"', "id=sidebar", "class='content-wide menu'", "data-id=ad", "class=navy"):
+        assert html_extract.extract(f"<body><div {wrap}><div class=sidebar><p>{GOOD}</p></div>{paragraphs}</div><footer>{GOOD}</footer></body>") == text, wrap
+    nav = f"<nav><p>{GOOD}</p></nav>"
+    assert html_extract.extract(f"<form id=aspnetForm>{nav}<article><header class=entry-header><h1>Title</h1></header>{paragraphs}</article><div class=footer>{GOOD}</div></form>") == f"Title\n{text}"
+    comment = f"<article class='comment even'><p>{GOOD} Mine.</p></article>"
+    assert html_extract.extract(f"<article class='post comments-open'>{paragraphs}<div>{comment * 5}</div></article>") == text
+    for part in ("class='site-footer'", "id=comments", "class='post-comments'", "class=cookie-notice", "class='side-bar'", "class='ad-1'", "id=main-nav", "role=navigation"):
+        assert html_extract.extract(f"<div>{paragraphs}</div><div {part}><p>{GOOD}</p></div>") == text, part
+    for part in ("id=comments", "class=cookie-consent", "role=navigation"):
+        assert html_extract.extract(f"<div>{paragraphs}</div><div {part}>{paragraphs * 3}</div>") == text, part
+
+
 # -- 8: n-gram join ---------------------------------------------------------------------------------------------
 
 

@@ -6,14 +6,16 @@ nearest decided neighbour (good when the nearest on either side differ and one o
 an article or main element that neighbour is sought in the element alone. What stands outside a page's main
 element is bad, as is what stands outside its articles where these hold at least half of its good text; elsewhere
 articles are blocks like any other, as they are inside parts without main text. Blocks inside elements that hold no
-main text (navigation, forms, scripts, asides, footers and the like), or whose class or id names such a part, are
-bad whatever their words. On a page whose long blocks hold almost no stop words (a language without a list, or
+main text (navigation, forms, scripts, asides, footers and the like), or of which a whole token of class, id or role
+names such a part, are bad whatever their words; only a form or a layout part that holds most of the good text of its
+page is a wrapper like any other. On a page whose long blocks hold almost no stop words (a language without a list, or
 lists, tables and code) long blocks with few links are good by length and links alone; on others such a block without
 stop words is undecided.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 
@@ -28,11 +30,18 @@ _TOKEN = re.compile(
 )
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _NEVER = frozenset("nav footer aside form menu head select button dialog header fieldset".split())
-_MAIN = frozenset(("article", "main"))
+_WRAPPING = frozenset(("form", "fieldset"))
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _ROLE = re.compile(r"(?<![\w-])role\s*=\s*[\"']?\s*main\b", re.I)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|menu|nav\w*|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|comments?|replies|respond|disqus|share|social|related|newsletter|subscribe|popup|modal|widget|toolbar|pagination|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PART = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|menu|nav|navbar|navi|navigation|breadcrumbs?|sidebar|footer|header|masthead|comments?|replies|respond|disqus|share|social|related|newsletter|subscribe|popup|modal|widget|toolbar|pagination|copyright|complementary|contentinfo", re.I)
+#: Parts that are text of their own, however much of it: never wrappers.
+_READERS = re.compile(r"comments?|replies|respond|disqus", re.I)
+_OWN = re.compile(_READERS.pattern + r"|ads?|advert\w*|sponsor\w*|cookies?|consent", re.I)
+#: Words beside a part's name in a token that leave it one (site-footer, comment-list, nav-2).
+_BESIDE = frozenset("site page global main primary secondary top bottom left right upper lower inner outer mobile desktop sticky fixed user post article entry story blog container wrapper wrap box area section block bar list item items link links button buttons btn icon icons posts articles stories thread form text title signup content body overlay slot unit row col column group panel".split())
+_HEADS = frozenset(("header", "masthead", "banner"))
+_OF_TEXT = frozenset("page post article entry story".split())
 _SPACE = re.compile(r"\s+")
 #: Function words of the languages the rules know.
 STOP_WORDS = frozenset(
@@ -43,11 +52,14 @@ STOP_WORDS = frozenset(
 )
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, bool, int]], set[int]]:
-    """(text, characters of it inside links, inside a part without main text, number of its article or 0), and which
-    of these numbers are main elements."""
+def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool, int]], set[int], list[tuple[int, ...]]]:
+    """(text, characters of it inside links, inside a part without main text, number of its article or 0), which of
+    these numbers are main elements, and by block the parts it is in: where each begins, negative if that can't be a
+    wrapper. Parts that begin at ``wrappers`` are none."""
     out, text, linked, links = [], [], 0, 0
     stack: list[tuple[str, bool, int]] = []
+    inside: list[int] = []
+    within: list[tuple[int, ...]] = []
     never, main, mains, firm = 0, 0, 0, set()
 
     def close():
@@ -55,6 +67,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, int]], set[int]]:
         body = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if body:
             out.append((body, linked, never > 0, main))
+            within.append(tuple(inside))
         text, linked = [], 0
 
     at = 0
@@ -83,14 +96,25 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, int]], set[int]]:
             continue
         if not m[2]:
             only = name == "main" or bool(_ROLE.search(m[4]))
-            bad = name in _NEVER and not (name == "header" and main) or not only and name not in ("html", "body", *_MAIN) and bool(_part(m[4]))
+            kind = OTHER if name in _NEVER and name not in _WRAPPING else LAYOUT if name in _WRAPPING else PLAIN
+            if name == "header" and main:
+                kind = PLAIN
+            elif name == "article":
+                kind = READERS if _part(m[4]) == READERS else PLAIN
+            elif not only and name not in ("html", "body"):
+                kind = max(kind, _part(m[4]))
+            bad = kind != PLAIN and m.start() not in wrappers
             if name in _BLOCK or name in _NEVER or bad or only:
                 if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends at the next
-                    never -= stack.pop()[1]
+                    if stack.pop()[1]:
+                        never -= 1
+                        inside.pop()
                 if (bad or only) and name not in _BLOCK:
                     close()
                 stack.append((name, bad, main))
-                never += bad
+                if bad:
+                    never += 1
+                    inside.append(m.start() + 1 if kind == LAYOUT else -m.start() - 1)
                 if (only or name == "article") and not main and not never:
                     mains += 1
                     main = mains
@@ -101,17 +125,35 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, int]], set[int]]:
                 close()
             while stack:
                 x, bad, before = stack.pop()
-                never -= bad
+                if bad:
+                    never -= 1
+                    inside.pop()
                 main = before
                 if x == name:
                     break
     text.append(page[at:])
     close()
-    return out, firm
+    return out, firm, within
 
 
-def _part(attributes: str) -> bool:
-    return bool(attributes) and any(_PART.search(next(g for g in m.groups() if g is not None) if any(m.groups()) else "") for m in _NAMED.finditer(attributes))
+PLAIN, LAYOUT, OTHER, READERS = 0, 1, 2, 3
+
+
+@functools.lru_cache(10_000)
+def _part(attributes: str) -> int:
+    """What class, id and role name: no part, a layout part, a text other than the main one, readers' comments."""
+    kind = PLAIN
+    for m in _NAMED.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            words = [w for w in re.split(r"[_-]+", re.sub(r"side[_-]bar", "sidebar", token.lower())) if w]
+            parts = [w for w in words if _PART.fullmatch(w)]
+            if not parts or not all(w in _BESIDE or w.isdigit() for w in words if w not in parts):
+                continue
+            if _HEADS.issuperset(parts) and not _OF_TEXT.isdisjoint(words):  # a page-header holds the text's title
+                continue
+            readers, own = (any(p.fullmatch(w) for w in parts) for p in (_READERS, _OWN))
+            kind = max(kind, READERS if readers else OTHER if own or m[1].lower() == "role" else LAYOUT)
+    return kind
 
 
 GOOD, BAD, OPEN = 1, 0, 2
@@ -142,11 +184,27 @@ def first_pass(found: list, long: int = 200, links: float = 0.33, dense: float =
     return label
 
 
+def _wrappers(found: list, within: list[tuple[int, ...]]) -> frozenset[int]:
+    """Where the layout parts begin that hold more than half of the page's good text, other parts' not counted."""
+    rows = [i for i, x in enumerate(within) if all(at > 0 for at in x)]
+    if not any(within[i] for i in rows):
+        return frozenset()
+    good, held = 0, {}
+    for i, x in zip(rows, first_pass([(*found[i][:2], False, found[i][3]) for i in rows]), strict=True):
+        if x == GOOD:
+            good += len(found[i][0])
+            for at in within[i]:
+                held[at - 1] = held.get(at - 1, 0) + len(found[i][0])
+    return frozenset(at for at, n in held.items() if 2 * n > good)
+
+
 def extract(page: str | None) -> str:
     """Main text: its blocks in page order, one a line."""
     if not page:
         return ""
-    found, firm = blocks(page)
+    found, firm, within = blocks(page)
+    if wrappers := _wrappers(found, within):
+        found, firm, _ = blocks(page, wrappers)
     label = first_pass(found)
     if any(b[3] for b in found):
         good = [0, 0]
