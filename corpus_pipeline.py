@@ -13,21 +13,17 @@ from voxelmill.llm import decontaminate, language, ngram_join, packing, rows, to
 from voxelmill.llm.queries import tokenizer_path
 from voxelmill.llm.scratch import Scratch
 
-#: A text whose best language is less likely than this is rejected, as is one without letters.
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts in none of the learned languages."""
-    shared = spark.sparkContext.broadcast(language.fit(docs))
+    """Rejects texts without a letter and texts in none of the learned languages, by bounds calibrated on texts held
+    back from the fit and on texts of left-out languages."""
+    texts, langs = language.sample(docs)
+    shared = spark.sparkContext.broadcast((language.train(texts, langs), language.calibrate(texts, langs)))
 
     def judge():
-        tables = shared.value.prepared()
-
-        def known(texts):
-            return [lang != "und" and score >= LEAST_LANGUAGE_SCORE for lang, score in zip(*language.predict(texts, shared.value, tables), strict=True)]
-
-        return known
+        model, known = shared.value
+        tables = model.prepared()
+        return lambda texts: known.judge(texts, language.predict(texts, model, tables)[0])
 
     return rows.keep_where(docs, judge)
 

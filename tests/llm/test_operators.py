@@ -488,6 +488,21 @@ def test_stages_on_awkward_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() >= (1 if table is docs else 0)
 
 
+def test_language_stage_rejects_languages_it_did_not_learn(spark):
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    docs = read(spark, "documents").where(F.col("text").rlike(r"\p{L}"))
+    for out in ("fr", "es"):
+        some = docs.withColumn("lang", F.when(F.col("lang") != out, F.col("lang")))
+        strange = ["Вечером дети играли перед домом, а взрослые говорили об урожае и о дождях. " * 5, "zxq wvkj qqpl xzzt jkqw vvbx " * 20, "傍晚孩子们在房子前面玩耍，大人们谈论着收成。" * 10]
+        some = some.unionByName(some.limit(1).select(F.explode(F.array(*map(F.lit, strange))).alias("text"), F.lit(-1).cast("long").alias("doc_id")), allowMissingColumns=True)
+        kept = {r.doc_id for r in stage(spark, some, SF).select("doc_id").collect()}
+        rows = some.withColumn("long", F.length("text") >= 200).collect()
+        assert not [r.doc_id for r in rows if r.lang is None and r.long and r.doc_id in kept], out
+        clean = [r.doc_id in kept for r in rows if r.lang is not None]
+        assert sum(clean) >= 0.99 * len(clean)
+    assert stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).count() == docs.count()
+
+
 def test_pipeline_stages_match_brute_force(spark, tmp_path):
     docs, bench = read(spark, "documents"), [(r.item_id, r.text) for r in read(spark, "benchmark").collect()]
     stages = dict(corpus_pipeline.STAGES)

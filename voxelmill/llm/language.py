@@ -4,6 +4,10 @@ Filters of widths 2, 3 and 4 over one-hot bytes, max pooling over a fixed-length
 into windows of 256 filter positions; its prediction is the mean of its windows' probabilities, weighted by
 their letters, so every byte of the text counts. A filter over one-hot bytes is a table look-up: for
 scoring, the filters of two neighbouring bytes are merged into 65,536-row tables of 16-bit integers.
+
+The network knows no "none of these". ``Known`` does: byte trigrams of each learned language give a text's words
+a likelihood, and bounds on it, one a language, lie between what held-back texts of that language reach and what
+texts reach whose language is left out or whose letters are shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from .words import slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
+_WORD = re.compile(r"[^\W_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.array([c > 127 or chr(c).isalpha() for c in range(256)])
 
@@ -151,15 +156,147 @@ def predict(texts: list, m: LanguageModel, tables, chunk: int = 64) -> tuple[lis
     return out, score
 
 
-def fit(docs: DataFrame, folds: int = 3, held_fold: int = 1, max_rows: int = 4000, text_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Model from at most ``max_rows`` rows chosen by hash, none of the held-out fold. For training only, a longer
+SLOTS = 1 << 18
+#: Backing off to two bytes costs as much as a probability of this.
+BACK_OFF = 0.05
+#: Fewest texts from which a language gets a bound.
+LEAST_TEXTS = 8
+
+
+def _lines(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words without digits, a blank before each and two before a line's first, as bytes; where each line begins; its text."""
+    parts, row = [], []
+    for i, t in enumerate(texts):
+        for line in (t or "").lower().split("\n"):
+            words = [w for w in _WORD.findall(line) if w.isalpha()]
+            if words:
+                parts.append(("  " + " ".join(words) + " ").encode("utf-8", "surrogatepass"))
+                row.append(i)
+    size = np.array([len(x) for x in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, np.array(row, np.int64)
+
+
+def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the two and the three bytes that begin at each place but the last two."""
+    x = data.astype(np.uint32)
+    two = (x[:-1] << 8) | x[1:]
+    three = ((two[:-1] << 8) | x[2:]) * np.uint32(2654435761) >> np.uint32(14)
+    return two, three
+
+
+class Trigrams:
+    """Logarithms of P(byte | two before); of unseen triples, those of P(byte | one before) and the price of backing off."""
+
+    def __init__(self, texts: list):
+        data, start, _ = _lines(texts)
+        two, three = _grams(data) if len(data) else (np.empty(0, np.uint32),) * 2
+        inner = np.ones(len(three), bool)
+        for back in (1, 2):
+            inner[start[1:] - back] = False
+        pairs = np.bincount(two, minlength=65536).astype(np.float64).reshape(256, 256)
+        one = (pairs.sum(axis=0) + 1) / (pairs.sum() + 256)
+        self.two = np.log(BACK_OFF * (pairs + one) / (pairs.sum(axis=1, keepdims=True) + 1)).reshape(-1).astype(np.float32)
+        count = np.bincount(three[inner], minlength=SLOTS)
+        before = np.zeros(SLOTS)
+        before[three[inner]] = np.bincount(two, minlength=65536)[two[:-1][inner]]
+        self.three = np.where(count > 0, np.log(np.maximum(count, 1) / np.maximum(before, count).clip(1)), 1).astype(np.float16)
+
+
+def _likelihoods(texts: list, tables: list[Trigrams]) -> tuple[np.ndarray, np.ndarray]:
+    """By text: the sum of its lines' log likelihoods, each in its best language; the sums in every language; bytes."""
+    best, lead, size = np.zeros(len(texts)), np.zeros((len(texts), len(tables))), np.zeros(len(texts), np.int64)
+    data, start, row = _lines(texts)
+    if not len(start):
+        return best, lead, size
+    two, three = _grams(data)
+    outer = np.zeros(len(three), bool)
+    for back in (1, 2):
+        outer[start[1:] - back] = True
+    by = np.empty((len(start), len(tables)))
+    for k, t in enumerate(tables):
+        seen = t.three[three].astype(np.float32)
+        value = np.where(seen <= 0, seen, t.two[two[1:]])
+        value[outer] = 0
+        by[:, k] = np.add.reduceat(value, start, dtype=np.float64)
+    np.add.at(best, row, by.max(axis=1))
+    np.add.at(lead, row, by)
+    np.add.at(size, row, np.diff(start, append=len(data)) - 2)
+    return best, lead, size
+
+
+@dataclass
+class Known:
+    """Which texts are in one of the learned languages. A text is in none when its words' log likelihood, each line
+    in its best language, falls short of ``bound`` a byte by more than ``slack``, both of the language the network
+    gives it; so a few words never suffice to reject. Where nothing was learned, texts with a letter stay."""
+
+    langs: list
+    tables: list
+    bound: np.ndarray
+    slack: np.ndarray
+
+    def judge(self, texts: list, langs: list) -> list[bool]:
+        """``langs``: the network's, by text."""
+        if not self.langs:
+            return [bool(t and _LETTER.search(t)) for t in texts]
+        best, _, size = _likelihoods(texts, self.tables)
+        at = np.array([self.langs.index(x) if x != "und" else 0 for x in langs], np.int64)
+        near = best >= self.bound[at] * size - self.slack[at]
+        return [bool(ok and x != "und") for ok, x in zip(near, langs, strict=True)]
+
+
+def calibrate(texts: list, langs: list, folds: int = 4, seed: int = 5) -> Known:
+    """Bounds from labelled texts, each scored by tables that never saw it. A language with fewer than LEAST_TEXTS
+    texts gets none: what is nearest to it stays."""
+    rng, names = np.random.default_rng(seed), sorted(set(langs))
+    label = np.array([names.index(x) for x in langs], np.int64)
+    fold = np.empty(len(label), np.int64)
+    for k in range(len(names)):
+        mine = np.flatnonzero(label == k)
+        fold[mine] = np.arange(len(mine)) % folds
+    of = lambda rows: [texts[i] for i in rows]
+    own, others = [[] for _ in names], [[] for _ in names]  # (likelihood, bytes) of texts in their own and in no language
+    for f in range(folds):
+        tables = [Trigrams(of(np.flatnonzero((label == k) & (fold != f)))) for k in range(len(names))]
+        for k in range(len(names)):
+            rows = np.flatnonzero((label == k) & (fold == f))
+            best, _, size = _likelihoods(of(rows), tables)
+            for x, n in zip(best, size, strict=True):
+                own[k].append((x, n))
+            mixed = ["".join(rng.permutation(list(t[:2000]))) for t in of(rows)]
+            left = [(mixed, range(len(names)))] + [(of(rows), [j for j in range(len(names)) if j != k])] * (len(names) > 1)
+            for false, there in left:
+                best, lead, size = _likelihoods(false, [tables[j] for j in there])
+                for x, at, n in zip(best, lead.argmax(axis=1), size, strict=True):
+                    others[there[at]].append((x, n))
+    bound, slack = np.full(len(names), -1e9), np.zeros(len(names))
+    for k in range(len(names)):
+        if len(own[k]) < LEAST_TEXTS:
+            continue
+        x, n = np.array(own[k]).T
+        long = n >= min(200, np.median(n))
+        low = np.quantile((x / np.maximum(n, 1))[long], 0.01)
+        y, m = np.array([z for z in others[k] if z[1] >= 200] or [(-1e3, 1.0)]).T
+        high = np.quantile(y / m, 0.99)
+        bound[k] = (low + high) / 2 if len(y) > 1 and high < low else low - 0.1
+        slack[k] = 5 + 1.5 * max(0.0, (bound[k] * n - x).max())
+    return Known(names, [Trigrams(of(np.flatnonzero(label == k))) for k in range(len(names))], bound, slack)
+
+
+def sample(docs: DataFrame, folds: int = 3, held_fold: int = 1, max_rows: int = 4000, text_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list, list]:
+    """Texts and languages of at most ``max_rows`` rows chosen by hash, none of the held-out fold. For training only, a longer
     text gives ``text_chars`` characters from a place that its hash decides. Rows without text or language are left out."""
     text = F.col(text_col).cast("string")
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     rows = docs.where((fold != held_fold) & F.col(lang_col).isNotNull() & (F.trim(text) != ""))
     chosen = rows.select(F.xxhash64(id_col).alias("h"), id_col, F.col(lang_col).cast("string").alias("lang"), text.alias("text")).withColumn("from", F.expr(f"1 + pmod(h, greatest(1, length(text) - {text_chars}))"))
     got = chosen.select("h", id_col, "lang", F.expr(f"substring(text, int(from), {text_chars})").alias("text")).orderBy("h", id_col, "text").limit(max_rows).toArrow()
-    return train(got["text"].to_pylist(), got["lang"].to_pylist())
+    return got["text"].to_pylist(), got["lang"].to_pylist()
+
+
+def fit(docs: DataFrame, **options) -> LanguageModel:
+    """Model from ``sample``'s rows."""
+    return train(*sample(docs, **options))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
