@@ -257,6 +257,40 @@ def test_packing(spark):
     assert few.length.sum() == rows.length.sum() and (few.groupby("sequence_id").length.sum().iloc[:-1] == 2048).all()
 
 
+def windows_of(rows, docs):
+    """Tokens by window and source; the windows must be full and every id in one piece."""
+    rows = rows.merge(docs, on="doc_id")
+    seq = rows.sort_values(["sequence_id", "offset"])
+    assert ((seq.groupby("sequence_id").length.cumsum() - seq.length) == seq.offset).all()
+    for _, g in rows.sort_values("start").groupby("doc_id"):
+        assert g.start.tolist() == [0, *(g.start + g.length).tolist()[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
+    return rows.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+
+
+def test_packing_of_more_sources_than_queues(spark):
+    docs = read(spark, "documents").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 23)))
+    got = windows_of(packing.pack(docs, tokenizer_path(), max_queues=6).toPandas(), docs.select("doc_id", "source").toPandas())
+    totals = got.sum()
+    assert len(totals) == 24 and (got.sum(axis=1).iloc[:-1] == 2048).all()
+    share = totals / totals.sum()
+    # every source keeps its share over any number of windows, to a few tokens
+    assert (got.cumsum().iloc[:-1].sub(np.outer(2048 * (np.arange(len(got) - 1) + 1), share)).abs().max() < 6).all()
+
+
+def test_packing_at_given_proportions(spark):
+    docs = read(spark, "documents").withColumn("source", F.when(F.col("doc_id") % 4 == 0, "a").when(F.col("doc_id") % 4 == 1, "b").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 9)))
+    ids = docs.select("doc_id", "source").toPandas()
+    for queues in (1024, 6):
+        got = windows_of(packing.pack(docs, tokenizer_path(), max_queues=queues, proportions={"a": 0.5, "b": 0.1}).toPandas(), ids)
+        assert (got.sum(axis=1).iloc[:-1] == 2048).all()
+        full = int(got["a"].sum() // 1024) - 1
+        assert full > 5 and (got["a"].iloc[:full] - 1024).abs().max() <= 3 and (got["b"].iloc[:full] - 204.8).abs().max() <= 3
+    alone = windows_of(packing.pack(docs, tokenizer_path(), proportions={"a": 0.5, "b": 0.5}).toPandas(), ids)
+    assert alone.drop(columns=["a", "b"]).iloc[:3].to_numpy().sum() == 0 and (alone["a"].iloc[:3] - 1024).abs().max() <= 3
+    with pytest.raises(ValueError):
+        packing.pack(docs, tokenizer_path(), proportions={"a": 0.7, "b": 0.5})
+
+
 def test_round_robin_state():
     totals = [700, 13, 1, 0, 286]
     state = packing.served(np.arange(0, 1001), totals)

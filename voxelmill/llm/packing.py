@@ -5,16 +5,21 @@ behind its target share, and every 2048 tokens close a window: its contents hold
 token a source, and what a source is owed (its deficit) is carried into the next window, over task and partition
 borders alike. The state of the scheduler after any number of tokens is a function of the queues' totals alone,
 so every task computes the cuts of just the windows it fills, and no task has to see the others.
-With the corpus's own proportions as targets all queues run dry together; only the last window is not full.
+With the corpus's own proportions as targets all queues run dry together; with others the rest go on in theirs when
+one is dry. Only the last window is not full. Of many sources most share queues, and a scheduler of the same kind
+inside each serves its sources, so every source keeps its share.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
+import math
 import os
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -113,34 +118,36 @@ def tokenizer_of(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
-def _tokenize(path: str, end_id: int, queues: int):
-    """(doc, ids, n, part, queue, start): a document's ids and its place in its queue, within this partition."""
+def _tokenize(path: str, end_id: int):
+    """(doc, ids, n, part, queue, tail, start): a document's ids and its place in its source, within this partition."""
 
     def run(batches):
         tokenizer, part, at = tokenizer_of(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             for piece in slices(batch, 200, 4 << 20):
                 ids = [np.append(x, np.uint32(end_id)) for x in tokenizer.encode(piece.column(1).to_pylist())]
-                queue = piece.column(2).to_pylist()
                 start = []
-                for q, x in zip(queue, ids, strict=True):
+                for q, x in zip(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True), ids, strict=True):
                     start.append(at.get(q, 0))
                     at[q] = start[-1] + len(x)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array(np.full(len(ids), part, np.int32)), pa.array(queue, pa.int32()), pa.array(start, pa.int64())],
-                    names=["doc", "ids", "n", "part", "queue", "start"],
+                     pa.array(np.full(len(ids), part, np.int32)), piece.column(2), piece.column(3), pa.array(start, pa.int64())],
+                    names=["doc", "ids", "n", "part", "queue", "tail", "start"],
                 )
 
     return run
 
 
-def served(tokens: np.ndarray, totals: list[int]) -> np.ndarray:
+def served(tokens: np.ndarray, totals: list[int], weights: list[int] | None = None) -> np.ndarray:
     """State of the round-robin after so many tokens: rows by entry of ``tokens``, columns by queue.
 
     Token k of queue s is due at (k + 1/2) / totals[s]; queues are served in the order of due times, then of s. A
     queue's deficit against its exact share stays within half a token for each other queue, about one in practice.
+    With ``weights`` token k is due at (k + 1/2) / weights[s]; a queue of weight 0 waits for all others.
     """
+    if weights is not None:
+        return _served_by(tokens, totals, weights)
     whole = sum(totals)
     out = np.empty((len(tokens), len(totals)), np.int64)
     for s, t in enumerate(totals):  # what is due for certain; exact in Python's integers
@@ -156,9 +163,54 @@ def served(tokens: np.ndarray, totals: list[int]) -> np.ndarray:
     return out
 
 
-def _cut(totals: list[int], length: int):
+def _served_by(tokens: np.ndarray, totals: list[int], weights: list[int]) -> np.ndarray:
+    if min(weights) <= 0:  # in two parts: those with a weight, then the others by their totals
+        first = [t if w > 0 else 0 for t, w in zip(totals, weights, strict=True)]
+        rest = [t - f for t, f in zip(totals, first, strict=True)]
+        n = np.minimum(tokens, sum(first))
+        out = np.zeros((len(tokens), len(totals)), np.int64)
+        for part, own, count in ((first, weights, n), (rest, rest, tokens - n)):
+            at = [s for s, t in enumerate(part) if t]
+            if at:
+                out[:, at] = _served_by(count, [part[s] for s in at], [own[s] for s in at])
+        return out
+    order = sorted(range(len(totals)), key=lambda s: (Fraction(totals[s], weights[s]), s))  # in which they run dry
+    ends, gone, left_weight = [], [0], [sum(weights)]  # tokens served by then, of them the dry queues', weight of the others
+    for s in order:
+        ends.append(gone[-1] + Fraction(totals[s] * left_weight[-1], weights[s]))
+        gone.append(gone[-1] + totals[s])
+        left_weight.append(left_weight[-1] - weights[s])
+    out = np.empty((len(tokens), len(totals)), np.int64)
+    for r, n in enumerate(tokens.tolist()):
+        sure = max(Fraction(0), Fraction(2 * n - len(totals), 2))
+        i = min(bisect.bisect_right(ends, sure), len(order) - 1)
+        time = (sure - gone[i]) / left_weight[i]
+        up, down = time.numerator, time.denominator
+        out[r] = [min(t, max(0, (2 * up * w + down) // (2 * down) - 1)) for t, w in zip(totals, weights, strict=True)]
+    left, size, weight = tokens - out.sum(axis=1), np.array(totals), np.array([float(w) for w in weights])
+    rows = np.flatnonzero(left > 0)
+    while len(rows):
+        due = np.where(out[rows] < size, (out[rows] + 0.5) / weight, np.inf)
+        out[rows, due.argmin(axis=1)] += 1
+        left[rows] -= 1
+        rows = rows[left[rows] > 0]
+    return out
+
+
+def _cut(totals: list[int], length: int, weights: list[int] | None):
     whole = sum(totals)
 
+    def _window(queue, tokens):
+        """About the window in which these queues have given so many tokens."""
+        size, weight = np.array(totals, np.float64), np.array(weights, np.float64) / sum(weights)
+        out = np.empty(len(queue))
+        for r, (q, x) in enumerate(zip(queue, np.maximum(tokens, 0), strict=True)):
+            if weight[q] > 0:
+                out[r] = np.minimum(size, x / weight[q] * weight).sum()
+            else:
+                out[r] = size[weight > 0].sum() + x / max(1.0, size[q]) * size[weight <= 0].sum()
+        return out / length
+
     def run(batches):
         for batch in batches:
             for piece in slices(batch, 500):
@@ -166,19 +218,38 @@ def _cut(totals: list[int], length: int):
 
     def _cut_one(piece):
         base, n, queue = (np.array(piece.column(c).to_pylist(), np.int64) for c in ("base", "n", "queue"))
+        place, lists = piece.column("place").to_pylist(), piece.column("members").to_pylist()
         last = -(-whole // length)
         per = np.array([whole / (length * max(t, 1)) for t in totals])[queue]  # windows a token
-        lo = np.clip(np.floor(base * per).astype(np.int64) - 2, 0, last)
-        hi = np.clip(np.ceil((base + n) * per).astype(np.int64) + 2, 0, last)
+        # a source that shares its queue: its own rate, and the queue's bound on what it may be ahead or behind
+        own = np.array([1.0 if x is None else totals[q] / max(1, x[p]) for q, p, x in zip(queue, place, lists, strict=True)])
+        slack = 2 + np.ceil(np.array([0 if x is None else 1 + len(x) / 2 for x in lists]) * per).astype(np.int64)
+        per = per * own
+        if weights is None:
+            lo = np.clip(np.floor(base * per).astype(np.int64) - slack, 0, last)
+            hi = np.clip(np.ceil((base + n) * per).astype(np.int64) + slack, 0, last)
+        else:
+            wide = np.array([0 if x is None else 1 + len(x) / 2 for x in lists])
+            off = 2 + 2 * len(totals) // length
+            lo = np.clip(np.floor(_window(queue, base * own - wide)).astype(np.int64) - off, 0, last)
+            hi = np.clip(np.ceil(_window(queue, (base + n) * own + wide)).astype(np.int64) + off, 0, last)
         edges = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)]))
         need = np.unique(np.concatenate([edges, np.minimum(edges + 1, last)]))
-        state = served(np.minimum(need * length, whole), totals)
+        state = served(np.minimum(need * length, whole), totals, weights)
         docs, blob = piece.column("doc"), piece.column("ids")
+        shared: dict = {}
         out = {k: [] for k in ("row", "start", "length", "crc", "window", "offset")}
-        for q in np.unique(queue):
-            mine = np.flatnonzero(queue == q)
+        for q, at in sorted({(int(q), -1 if p is None else p) for q, p in zip(queue, place, strict=True)}):
+            mine = [r for r in np.flatnonzero(queue == q) if (-1 if place[r] is None else place[r]) == at]
             cuts = state[:, q]
             before = state[:, :q].sum(axis=1)
+            if at >= 0:
+                if q not in shared:  # of each source in the queue: what is served, and what stands before it
+                    shared.clear()
+                    some, back = np.unique(cuts, return_inverse=True)
+                    shared[q] = served(some, lists[mine[0]])[back]
+                cuts = shared[q][:, at]
+                before = before + shared[q][:, :at].sum(axis=1)
             for r in mine:
                 a, b, ids = int(base[r]), int(base[r] + n[r]), blob[int(r)].as_buffer()
                 ids = memoryview(ids)
@@ -207,32 +278,60 @@ def _cut(totals: list[int], length: int):
 
 def pack(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    length: int = 2048, end_id: int = 1, max_queues: int = 1024,
+    length: int = 2048, end_id: int = 1, max_queues: int = 1024, proportions: dict | None = None,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its text and then ``end_id``; null or empty text gives that one id. Every id lies in
-    exactly one piece. Null sources form a queue of their own. Sources beyond ``max_queues`` share queues by hash,
-    which bounds the totals that reach the driver. Repeated rows are packed as often as they occur; other columns
-    are ignored; no rows give no rows.
+    exactly one piece. Null sources form a source of their own. Of more sources than ``max_queues`` the largest have
+    queues of their own and the others share queues, in which each keeps its share; that bounds the totals that reach
+    the driver. ``proportions`` gives sources (None: the null source) their target shares of the tokens, at most 1
+    together; sources without one divide the rest by their sizes, or follow last if nothing is left. Repeated rows
+    are packed as often as they occur; other columns are ignored; no rows give no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    targets = {"\u0000" if s is None else str(s): Fraction(str(x)) for s, x in (proportions or {}).items()}
+    if any(x <= 0 for x in targets.values()) or sum(targets.values()) > 1 or len(targets) > max_queues // 2:
+        raise ValueError("proportions must be positive, at most 1 together, for at most half of max_queues sources")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000"))
-    names = [r[0] for r in docs.select(source.alias("s")).distinct().limit(max_queues + 1).collect()]
-    if len(names) <= max_queues:
-        number = F.create_map(*(F.lit(x) for i, s in enumerate(sorted(names)) for x in (s, i)))[source] if names else F.lit(0)
-        queues = max(1, len(names))
-    else:
-        number, queues = F.pmod(F.xxhash64(source), F.lit(max_queues)), max_queues
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), number.cast("int").alias("queue"))
+    names = sorted(r[0] for r in docs.select(source.alias("s")).distinct().limit(max_queues + 1).collect())
+    many = len(names) > max_queues
+    if many:
+        top = docs.groupBy(source.alias("s")).count().orderBy(F.desc("count"), "s").limit(max_queues // 2)
+        names = list(dict.fromkeys([*sorted(targets), *(r[0] for r in top.collect())]))[: max_queues // 2]
+    own = F.create_map(*(F.lit(x) for i, s in enumerate(names) for x in (s, i)))[source] if names else F.lit(0)
+    queues = max_queues if many else max(1, len(names))
+    number = F.coalesce(own, F.pmod(F.xxhash64(source), F.lit(queues - len(names))) + len(names)) if many else own
+    tail = F.when(own.isNull(), source).otherwise("") if many else F.lit("")
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), number.cast("int").alias("queue"), tail.alias("tail"))
     kind = rows.schema["doc"].dataType.simpleString()
-    tokens = scratch.table(rows.mapInArrow(_tokenize(tokenizer_path, end_id, queues), f"doc {kind}, ids binary, n long, part int, queue int, start long"), "tokens")
-    sums = scratch.table(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
+    tokens = scratch.table(rows.mapInArrow(_tokenize(tokenizer_path, end_id), f"doc {kind}, ids binary, n long, part int, queue int, tail string, start long"), "tokens")
+    sums = scratch.table(tokens.groupBy("queue", "tail", "part").agg(F.sum("n").alias("n")), "sums")
     totals = [0] * queues
     for q, n in sums.groupBy("queue").agg(F.sum("n")).collect():  # at most max_queues rows
         totals[q] = n
-    bases = sums.selectExpr("queue", "part", "sum(n) over (partition by queue order by part) - n as before")
+    weights = _weights(names, totals, targets) if targets else None
+    bases = sums.selectExpr("queue", "tail", "part", "sum(n) over (partition by queue, tail order by part) - n as before")
+    if many:
+        each = scratch.table(sums.where(F.col("queue") >= len(names)).groupBy("queue", "tail").agg(F.sum("n").alias("total")), "sources")
+        members = each.groupBy("queue").agg(F.expr("transform(sort_array(collect_list(struct(tail, total))), x -> x.total)").alias("members"))
+        places = each.selectExpr("queue", "tail", "row_number() over (partition by queue order by tail) - 1 as place")
+        bases = bases.join(places, ["queue", "tail"], "left")
+    else:
+        bases = bases.withColumn("place", F.lit(None).cast("int"))
     if sums.count() <= 1_000_000:  # 20 MB; beyond it Spark picks a join that shuffles
         bases = F.broadcast(bases)
-    placed = tokens.join(bases, ["queue", "part"]).select("doc", "ids", "n", "queue", (F.col("before") + F.col("start")).alias("base"))
-    return placed.mapInArrow(_cut(totals, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = tokens.join(bases, ["queue", "tail", "part"])
+    placed = placed.join(members, "queue", "left") if many else placed.withColumn("members", F.lit(None).cast("array<long>"))
+    placed = placed.select("doc", "ids", "n", "queue", (F.col("before") + F.col("start")).alias("base"), "place", "members")
+    return placed.mapInArrow(_cut(totals, length, weights), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def _weights(names: list[str], totals: list[int], targets: dict[str, Fraction]) -> list[int]:
+    """Integers in the proportion of the targets; queues without one divide the rest by their totals."""
+    given = {i: targets[s] for i, s in enumerate(names) if s in targets}
+    others = sum(t for i, t in enumerate(totals) if i not in given)
+    rest = 1 - sum(given.values())
+    shares = [given.get(i, rest * Fraction(t, max(1, others))) for i, t in enumerate(totals)]
+    scale = math.lcm(*(x.denominator for x in shares))
+    return [int(x * scale) for x in shares]
