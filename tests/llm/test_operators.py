@@ -508,6 +508,21 @@ def test_decontamination(spark):
     assert [r.doc_id for r in decontaminate.find_leaks(asked, answers, answer_col="answer").collect()] == [1]
 
 
+def test_decontamination_in_several_indexes(spark):
+    bench = read(spark, "benchmark")
+    one, many = list(decontaminate.indexes(bench)), list(decontaminate.indexes(bench, max_items=15))
+    assert len(one) == 1 and len(many) > 1 and {x.longest for x in many} == {one[0].longest}
+
+    def shares(index):
+        word = {i: w for w, i in index.terms.items()}
+        return {(word[t], index.ids[index.item[k]]): index.share[k] for t in word for k in range(int(index.start[t]), int(index.start[t] + index.size[t]))}
+
+    whole, parts = shares(one[0]), {}
+    for x in many:
+        parts |= shares(x)
+    assert parts.keys() == whole.keys() and all(parts[k] == pytest.approx(v) for k, v in whole.items())
+
+
 # -- the pipeline -----------------------------------------------------------------------------------------------
 
 

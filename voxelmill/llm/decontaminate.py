@@ -26,30 +26,51 @@ def split(text) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(ASCII_WORDS).split()
 
 
+def item_words(question, answer, answer_share: float = 0.2) -> tuple[list[bytes], list[bytes]]:
+    """An item's question and answer; without an answer the end of the text is it."""
+    w, tail = split(question), split(answer)
+    if not tail:
+        n = max(1, math.ceil(len(w) * answer_share)) if len(w) > 1 else 0
+        w, tail = w[: len(w) - n], w[len(w) - n :]
+    return w, tail
+
+
+class Statistics:
+    """What BM25 takes from all items together, however many indexes hold them."""
+
+    def __init__(self):
+        self.df, self.n, self.words, self.longest = Counter(), 0, 0, 1
+
+    def add(self, items: list[list[bytes]]) -> Statistics:
+        for w in items:
+            self.df.update(set(w))
+            self.n += 1
+            self.words += len(w)
+            self.longest = max(self.longest, len(w))
+        return self
+
+
 class Bm25Index:
     """Shares by (term, item); term number ``len(terms)`` stands for every word outside the index."""
 
-    def __init__(self, ids: list, questions: list, answers: list, answer_share: float = 0.2, block: int = 32, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, ids: list, questions: list, answers: list, answer_share: float = 0.2, block: int = 32, k1: float = 1.2, b: float = 0.75, statistics: Statistics | None = None):
         self.ids, self.block = ids, block
         words, self.question_words = [], []
         for q, a in zip(questions, answers, strict=True):
-            w, tail = split(q), split(a)
-            if not tail:  # the end of the text is its answer
-                n = max(1, math.ceil(len(w) * answer_share)) if len(w) > 1 else 0
-                w, tail = w[: len(w) - n], w[len(w) - n :]
+            w, tail = item_words(q, a, answer_share)
             self.question_words.append(len(w))
             words.append(w + tail)
         self.terms: dict = {}
         self.items = [np.array([self.terms.setdefault(x, len(self.terms)) for x in w], np.int64) for w in words]
-        self.longest = max([1, *map(len, self.items)])
+        known = statistics or Statistics().add(words)
+        self.longest = known.longest
         n, t = len(words), len(self.terms)
-        df = Counter(int(x) for w in self.items for x in set(w.tolist()))
-        mean = np.mean([len(w) for w in self.items]) if n else 1.0
+        df, total, mean = [known.df[x] for x in self.terms], known.n, known.words / max(1, known.n)
         self.blocks = -(-n // block) if n else 0
         postings: list = [[] for _ in range(t)]
         self.block_max = np.zeros((t + 1, max(1, self.blocks)), np.float32)
         for i, w in enumerate(self.items):
-            part = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(w) / mean)) for x, f in Counter(w.tolist()).items()}
+            part = {x: math.log(1 + (total - df[x] + 0.5) / (df[x] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(w) / mean)) for x, f in Counter(w.tolist()).items()}
             whole = sum(part.values()) or 1.0
             for x, v in part.items():
                 postings[x].append((i, v / whole))
@@ -140,14 +161,22 @@ def _search(index: Bm25Index, threshold: float, least: float):
 
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, max_items: int = 20_000):
-    """Indexes of at most about ``max_items`` items each over all items with an id and words."""
+    """Indexes of at most about ``max_items`` items each over all items with an id and words; their shares and passages
+    are those of one index over all items."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(question_col).cast("string").alias("q"), answer.alias("a")).where("q is not null and i is not null")
     shards = max(1, -(-items.count() // max_items))
-    for shard in range(shards):
+
+    def read(shard):
         got = items.where(F.pmod(F.xxhash64("i", "q"), F.lit(shards)) == shard).toArrow().sort_by([("i", "ascending"), ("q", "ascending")])
-        got = [x for x in zip(*(got[c].to_pylist() for c in "iqa"), strict=True) if split(x[1])]
-        yield Bm25Index(*([x[c] for x in got] for c in range(3)))
+        return [x for x in zip(*(got[c].to_pylist() for c in "iqa"), strict=True) if split(x[1])]
+
+    statistics = Statistics() if shards > 1 else None
+    for shard in range(shards if shards > 1 else 0):
+        statistics.add([sum(item_words(q, a), []) for _, q, a in read(shard)])
+    for shard in range(shards):
+        got = read(shard)
+        yield Bm25Index(*([x[c] for x in got] for c in range(3)), statistics=statistics)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least: float = 0.8, **options) -> DataFrame:
