@@ -1,21 +1,19 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-The product D x D' counts, for every pair of documents, the n-grams they share. Only pairs whose overlap can
-reach the size-derived bound ``ceil(t / (1 + t) * (|x| + |y|))`` matter, so the product is taken over the
-columns that such a pair must share: in any global order of n-grams, two sets with Jaccard t share one of the
-first ``|x| - ceil(t|x|) + 1`` n-grams. The order goes by four levels of corpus frequency (a counting pass over all
-documents, kept in two bits for each of a fixed number of slots), rare n-grams first, which keeps columns short;
-the order never decides a result. Blocks of the product are columns with at least two documents:
-
-1. each document is multiplied with the column head it shares most columns with (one pair a document); a head is the
-   document of its column with the fewest rare columns, which of near copies is the one most others link to;
-2. components so far are contracted; columns that still hold two components give all remaining pairs
-   across components that pass the size and position bounds, and their counts of shared columns, which bound the
-   overlap from above; pairs under the size-derived bound are dropped;
-3. full overlaps of what is left are accumulated from the whole n-gram sets and held against the bound again.
-
-Pairs inside a component already proven are skipped: they cannot change the result. Documents with equal
-sets are linked by a signature, not by pairs.
+The product D x D' counts, for every pair of documents, the n-grams they share. A pair with Jaccard t or more shares at
+least ``t / (1 + t) * (|x| + |y|)`` of them; the product is taken only over blocks that can hold such pairs, and pairs under
+that bound are dropped where they are counted.
+
+1. Blocks. Sets are cut into segments by ranges of the n-gram hash. Their number goes by the size class of the larger set and
+   exceeds the n-grams in which a linked pair can differ, so such a pair agrees on whole segments; each set gives the
+   ``d + 1`` fullest segments, in an order of contents that both sides know, and at least one of them is common to both.
+   Segments hold several n-grams each: texts that only share passages, lines or frequent words do not meet.
+   Sets that share segments form families (connected components; no pairs are made).
+2. Product. Each family is cut into blocks of bounded size, and each two blocks meet in one task, which multiplies
+   their incidence matrices: columns that many rows hold densely, the others by their entries. Only links that join
+   what is still apart leave the task, so rows stay linear in the documents.
+
+Documents with equal sets are one row of the matrix; a signature links them.
 """
 
 from __future__ import annotations
@@ -29,14 +27,14 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .rows import without_ids
 from .scratch import Scratch
-from .words import ASCII_LOWER, GrowingTable, Vocabulary, hash64, shingle_set, slices
+from .words import ASCII_LOWER, GrowingTable, Vocabulary, hash64, mix, shingle_set, slices
 
-#: Counters of the frequency pass; fixed, so the levels (1 MB) never grow with the data.
-SLOTS = 1 << 22
-#: Counts from which the levels 1, 2 and 3 begin.
-LEVELS = (8, 64, 512)
-#: Bits of the filter over candidate documents; fixed.
+#: Bits of the filter over documents of families; fixed, so it never grows with the data.
 CANDIDATE_BITS = 1 << 23
+#: A block of a family holds at most about so many sets and so many n-grams.
+BLOCK_SETS, BLOCK_GRAMS = 2048, 1 << 20
+#: Segment keys that a task holds before it passes them on.
+FLUSH = 1 << 20
 
 
 class _Shingler:
@@ -54,87 +52,183 @@ class _Shingler:
             yield shingle_set(self.hashes.rows[ids], self.k)
 
 
-def _need(n, percent: int):
-    """Least overlap with any partner of a set of size n: ceil(t * n)."""
-    return -(-n * percent // 100)
-
-
 def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both) and both > 0
 
 
-def _scan(k: int):
-    """Signature of each document, and the counter slots that stand out in this partition, with their counts."""
+def size_classes() -> np.ndarray:
+    """Least sizes of the classes; each is 1.4 times as wide as the one before."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 7 // 5))
+    return np.array(out, np.int64)
+
+
+_CLASSES = size_classes()
+
+
+def segment_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): segments of which every linked pair of different sets has at least one in common.
+
+    In class k a pair can differ in d n-grams at most, which spoil d segments at most; of S segments at least S - d agree.
+    Each side leaves out its S - d - 1 lowest, by number of n-grams and hash, so the highest that agrees is kept by both.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    most = sizes * 100 // percent
+    first, last = (np.searchsorted(_CLASSES, x, "right") - 1 for x in (sizes, most))
+    keys, rows = [], []
+    for step in range(int((last - first).max(initial=-1)) + 1):
+        k = first + step
+        top = _CLASSES[k + 1] - 1
+        d = (100 - percent) * (sizes + np.minimum(most, top)) // (100 + percent)
+        use = np.flatnonzero((sizes > 0) & (k <= last) & (d > 0))  # d = 0: equal sets only
+        if not len(use):
+            continue
+        widest = (100 - percent) * 2 * top[use] // (100 + percent)
+        parts = widest + 3 + widest // 8
+        n = sizes[use]
+        grams = np.concatenate([sets[i] for i in use])
+        base = np.cumsum(parts) - parts
+        cell = ((grams >> np.uint64(32)) * np.repeat(parts, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(base, n)
+        start = np.flatnonzero(np.diff(cell, prepend=-1))  # sets are sorted, so segments are runs
+        cell = cell[start]
+        held = np.diff(start, append=len(grams))
+        own = np.searchsorted(base, cell, "right") - 1
+        with np.errstate(over="ignore"):
+            salt = (k[use][own].astype(np.uint64) << np.uint64(32)) + (cell - base[own]).astype(np.uint64)
+            key = mix(np.add.reduceat(mix(grams * _ODD), start) + mix(salt * _ODD))
+        order = np.lexsort((key, -held, own))
+        own, key = own[order], key[order]
+        filled = np.bincount(own, minlength=len(use))
+        keep = np.arange(len(own)) - np.repeat(np.cumsum(filled) - filled, filled) < (d[use] + 1)[own]
+        keys.append(key[keep])
+        rows.append(use[own[keep]])
+        for i in np.flatnonzero(filled < d[use] + 1):  # too few segments hold anything: empty ones may be all that agree
+            full = set((cell[np.searchsorted(cell, base[i]) : np.searchsorted(cell, base[i] + parts[i])] - base[i]).tolist())
+            empty = [j for j in range(int(parts[i])) if j not in full]
+            with np.errstate(over="ignore"):
+                salt = (np.uint64(k[use][i]) << np.uint64(32)) + np.array(empty, np.uint64)
+                own_keys = np.sort(mix(mix(salt * _ODD)))[: int(d[use][i]) + 1 - int(filled[i])]
+            keys.append(own_keys)
+            rows.append(np.full(len(own_keys), use[i]))
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def stars(keys: np.ndarray, nodes: np.ndarray):
+    """Sorted distinct keys with the least node of each, and a forest (a, b) that joins the nodes of each key."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    head = np.repeat(nodes[start], np.diff(start, append=len(keys)))
+    other = head != nodes
+    return keys[start], nodes[start], forest(head[other], nodes[other])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least node, node) of the same components as the edges (a, b); at most one a node."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(ids))
+    x, y = at[: len(a)], at[len(a) :]
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (np.take(label, label) != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    on = label != np.arange(len(ids))
+    return ids[label[on]], ids[on]
+
+
+_SCAN = "bucket int, keys binary, nodes binary, doc long, n int, sig_a long, sig_b long"
+
+
+def _scan(k: int, percent: int, buckets: int):
+    """Two kinds of rows: size and signature of each document (bucket null), and segment keys with the sets (the first
+    half of the signature) that gave them, packed by bucket of keys; bucket -1 packs edges between sets of this task."""
+
+    def packed(bucket, keys, nodes):
+        n, none = len(bucket), pa.nulls(len(bucket), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary()), none, pa.nulls(n, pa.int32()), none, none], names=["bucket", "keys", "nodes", "doc", "n", "sig_a", "sig_b"])
+
+    def flush(held):
+        keys, nodes, (a, b) = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        start = np.flatnonzero(np.diff(bucket, prepend=-1))
+        cuts = [*start.tolist(), len(keys)]
+        yield packed(bucket[start], [keys[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], [nodes[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
+        if len(a):
+            yield packed([-1], [a.tobytes()], [b.tobytes()])
 
     def run(batches):
-        shingler, counts = _Shingler(k), np.zeros(SLOTS, np.int32)
+        shingler, held, seen = _Shingler(k), [], set()
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingler.sets(part.column(1).to_pylist()))
                 sig = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
-                if sets:
-                    np.add.at(counts, (np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+                high = np.array([x >> 64 for x in sig], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array(np.array([x >> 64 for x in sig], np.uint64).view(np.int64)),
-                     pa.array(np.array([x & 0xFFFFFFFFFFFFFFFF for x in sig], np.uint64).view(np.int64)),
-                     pa.nulls(len(sets), pa.int32())],
-                    names=["doc", "n", "sig_a", "sig_b", "slot"],
+                    [*(pa.nulls(len(sets), x) for x in (pa.int32(), pa.binary(), pa.binary())), part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                     pa.array(high), pa.array(np.array([x & 0xFFFFFFFFFFFFFFFF for x in sig], np.uint64).view(np.int64))],
+                    names=["bucket", "keys", "nodes", "doc", "n", "sig_a", "sig_b"],
                 )
-        # above what chance collisions of slots make
-        mean = counts.mean()
-        slot = np.flatnonzero(counts >= max(2, int(mean + 4 * np.sqrt(mean)) + 1)).astype(np.int32)
-        none = pa.nulls(len(slot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(counts[slot]), none, none, pa.array(slot)], names=["doc", "n", "sig_a", "sig_b", "slot"])
+                fresh = []
+                for i, (x, s) in enumerate(zip(sig, sets, strict=True)):  # an equal set of this task gives the same keys
+                    if len(s) and x not in seen:
+                        fresh.append(i)
+                        if len(seen) < 100_000:
+                            seen.add(x)
+                keys, rows = segment_keys([sets[i] for i in fresh], percent)
+                if len(keys):
+                    held.append((keys, high[np.array(fresh)[rows]]))
+                if sum(len(x) for x, _ in held) >= FLUSH:
+                    yield from flush(held)
+                    held = []
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def _columns(k: int, percent: int, levels: np.ndarray):
-    """(gram, doc, n, pos, alone): the incidence matrix over the columns that a linked pair must share; alone: how many
-    of the document's columns, in thousandths, are rare."""
+def _edges(batches):
+    """(a, b): edges between sets that share a key. Rows of a bucket come one after the other."""
 
-    def run(batches):
-        shingler, seen = _Shingler(k), set()
-        for batch in batches:
-            for part in slices(batch):
-                grams, docs, sizes, places, alone = [], [], [], [], []
-                for doc, s in zip(part.column(0).to_pylist(), shingler.sets(part.column(1).to_pylist()), strict=True):
-                    if doc is None or not len(s):
-                        continue
-                    sig = xxhash.xxh128_digest(s.tobytes())
-                    if sig in seen:  # an equal set of this task stands for it
-                        continue
-                    if len(seen) < 200_000:
-                        seen.add(sig)
-                    p = len(s) - _need(len(s), percent) + 1
-                    slot = (s & np.uint64(SLOTS - 1)).astype(np.int64)
-                    level = (levels[slot >> 2] >> (2 * (slot & 3))) & 3
-                    order = np.argsort(level, kind="stable")[:p]
-                    first = s[order]
-                    alone.append(np.full(len(first), 1000 * np.count_nonzero(level[order] == 0) // len(first), np.int32))
-                    grams.append(first)
-                    docs.append(np.full(len(first), doc, np.int64))
-                    sizes.append(np.full(len(first), len(s), np.int32))
-                    places.append(np.arange(len(first), dtype=np.int32))
-                if grams:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (docs, sizes, places, alone))], names=["gram", "doc", "n", "pos", "alone"])
+    def done(held):
+        if held:
+            a, b = stars(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in held]), np.concatenate([np.frombuffer(x, np.int64) for _, x in held]))[2]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    at, held = None, []
+    for batch in batches:
+        for bucket, keys, nodes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes")), strict=True):
+            if bucket == -1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (keys, nodes)], names=["a", "b"])
+                continue
+            if bucket != at:
+                yield from done(held)
+                at, held = bucket, []
+            held.append((keys, nodes))
+    yield from done(held)
 
 
 def _sets(k: int, wanted: np.ndarray):
-    """The whole sets of documents that may be candidates."""
+    """The whole sets of documents that may be in families."""
 
     def run(batches):
         shingler = _Shingler(k)
         for batch in batches:
-            for part in slices(batch):
-                doc = part.column(0).cast(pa.int64())
-                bit = _bit(doc.fill_null(0).to_numpy())
-                part = part.filter(pa.array(((wanted[bit >> 3] >> (bit & 7)) & 1) == 1))
-                kept = [(d, s.tobytes()) for d, s in zip(part.column(0).to_pylist(), shingler.sets(part.column(1).to_pylist()), strict=True) if d is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], names=["doc", "grams"])
+            doc = batch.column(0).cast(pa.int64())
+            bit = _bit(doc.fill_null(0).to_numpy())
+            for part in slices(batch.filter(pa.array(((wanted[bit >> 3] >> (bit & 7)) & 1) == 1))):
+                kept = [(d, s) for d, s in zip(part.column(0).to_pylist(), shingler.sets(part.column(1).to_pylist()), strict=True) if d is not None]
+                sig = np.array([xxhash.xxh128_intdigest(s.tobytes()) >> 64 for _, s in kept], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array(sig), pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["doc", "sig_a", "grams"])
 
     return run
 
@@ -143,24 +237,70 @@ def _bit(doc: np.ndarray) -> np.ndarray:
     return doc.astype(np.int64) & (CANDIDATE_BITS - 1)
 
 
-def _verify(percent: int):
-    """Rows of a block come as its head's set, then the sets to multiply it with."""
+def links_of(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of linked sets that join what no pair before them joins. With two sides (0 and 1) only pairs across."""
+    n = np.array([len(s) for s in sets], np.int64)
+    rows = np.repeat(np.arange(len(sets)), n)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    entry = np.argsort(column, kind="stable")
+    entry = entry[count[column[entry]] > 1]
+    x, c = rows[entry], column[entry]
+    two = bool(side.any())
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(sets)),) * 2
+    place = np.empty(len(sets), np.int64)
+    place[left] = np.arange(len(left))
+    place[right] = np.arange(len(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    dense = count[c] >= max(16, len(sets) // 16)
+    # columns that many rows hold: dense products of 1,024 columns at a time
+    _, dc = np.unique(c[dense], return_inverse=True)
+    dx = x[dense]
+    cut = np.searchsorted(dc, np.arange(0, dc.max(initial=-1) + 1, 1024))
+    for i, j in zip(cut, [*cut[1:], len(dc)]):
+        block = np.zeros((len(sets), 1024), np.float32)
+        block[dx[i:j], dc[i:j] & 1023] = 1
+        both += block[left] @ block[right].T
+    # the others: entries of a column against those after it
+    x, c = x[~dense], c[~dense]
+    step = 1
+    while len(x) > step:
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        i, j = x[same], x[same + step]
+        if two:
+            i, j = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
+            across = side[i] != side[j]
+            i, j = i[across], j[across]
+        np.add.at(both, (place[i], place[j]), 1)
+        step += 1
+    if not two:
+        both = np.triu(both, 1)  # the light columns were added there only
+    i, j = np.nonzero(both)
+    near = (100 + percent) * both[i, j].astype(np.int64) >= percent * (n[left[i]] + n[right[j]])
+    return forest(left[i[near]], right[j[near]])
+
+
+def _product(percent: int):
+    """Rows of a tile come one after the other, those of its first block with side 0."""
+
+    def done(docs, sides, sets):
+        if len(docs) > 1:
+            a, b = links_of(sets, np.array(sides), percent)
+            doc = np.array(docs, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a.astype(np.int64)]), pa.array(doc[b.astype(np.int64)])], names=["a", "b"])
 
     def run(batches):
-        at, head, members = None, None, None
+        at, docs, sides, sets = None, [], [], []
         for batch in batches:
-            a, b = [], []
-            for x, y, grams in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                g = np.frombuffer(grams, np.uint64)
-                if y is None:
-                    at, head = x, g
-                elif x == at:
-                    place = np.searchsorted(head, g)
-                    both = int(np.count_nonzero(head[np.minimum(place, len(head) - 1)] == g)) if len(head) else 0
-                    if similar(len(head), len(g), both, percent):
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for *tile, side, doc, grams in zip(*(batch.column(c).to_pylist() for c in ("family", "low", "high", "side", "doc", "grams")), strict=True):
+                if tile != at:
+                    yield from done(docs, sides, sets)
+                    at, docs, sides, sets = tile, [], [], []
+                docs.append(doc)
+                sides.append(side)
+                sets.append(np.frombuffer(grams, np.uint64))
+        yield from done(docs, sides, sets)
 
     return run
 
@@ -174,21 +314,6 @@ def bitmap(df: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets reach the bound. b's set travels once a pair, a's once a block."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
-    bit = F.col("doc").bitwiseAND(F.lit(CANDIDATE_BITS - 1))
-    wanted = spark.sparkContext.broadcast(bitmap(ids.select(bit.alias("bit")), CANDIDATE_BITS))
-    sets = docs.mapInArrow(lambda it, w=wanted: _sets(k, w.value)(it), "doc long, grams binary").join(ids.distinct(), "doc", "left_semi")
-    sets = scratch.table(sets.dropDuplicates(["doc"]), "sets")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("parts"))
-    heads = blocks.join(sets, blocks["a"] == sets["doc"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "grams")
-    rest = pairs.join(blocks, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part")).join(sets, F.col("b") == sets["doc"]).select("a", "part", "b", "grams")
-    rows = heads.unionByName(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return scratch.table(rows.select("a", "b", "grams").mapInArrow(_verify(percent), "a long, b long"), "links")
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs``.
 
@@ -200,49 +325,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    scan = scratch.table(docs.mapInArrow(_scan(words), "doc long, n int, sig_a long, sig_b long, slot int"), "scan")
-    sizes = scan.where("slot is null").select("doc", "n", "sig_a", "sig_b")
-    often = scan.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0])
-    level = F.when(F.col("n") >= LEVELS[2], F.array(F.lit(0), F.lit(1))).when(F.col("n") >= LEVELS[1], F.array(F.lit(1))).otherwise(F.array(F.lit(0)))
-    levels = spark.sparkContext.broadcast(bitmap(often.select(F.col("slot").cast("long").alias("slot"), F.explode(level).alias("half")).select((F.col("slot") * 2 + F.col("half")).alias("bit")), 2 * SLOTS))
-
-    equal = sizes.where("n > 0 and doc is not null").groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("a"), F.max("doc").alias("top"))
-    copies = sizes.where("n > 0").join(equal.where("a <> top").drop("top"), ["sig_a", "sig_b", "n"]).where("doc <> a").select("a", F.col("doc").alias("b"))
-
-    cols = scratch.table(docs.mapInArrow(lambda it, f=levels: _columns(words, percent, f.value)(it), "gram long, doc long, n int, pos int, alone int"), "columns")
-    # the head of a column is the document with the fewest columns of its own: of near copies, the one closest to all
-    heads = cols.groupBy("gram").agg(F.min_by("doc", "alone").alias("head"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("gram", "head")
-    cells = scratch.table(cols.drop("alone").join(heads, "gram"), "cells")
-    scratch.drop(cols)
-    # a pair that links shares about (1 - t) / 2 of its n-grams in these columns; weaker ones wait for step 2
-    best = (
-        cells.where("doc <> head").groupBy("doc", "head").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-        .where(f"300 * shared >= {100 - percent} * n")
-        .groupBy("doc").agg(F.max_by("head", F.struct("shared", -F.col("head"))).alias("a"))
-        .select("a", F.col("doc").alias("b"))
-    )
-    copies = scratch.table(copies, "copies")
-    links = copies.unionByName(_linked(scratch.table(best, "pairs"), docs, words, percent, scratch))
-    known = connected_components(links, scratch)
-
-    # columns that still hold two components
-    tagged = cells.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"))
-    tagged = scratch.table(tagged, "tagged")
-    mixed = tagged.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    rows = tagged.join(mixed, "gram")
-    x, y = (rows.select("gram", *(F.col(c).alias(c + s) for c in ("doc", "n", "pos", "c"))) for s in "xy")
-    both = x.join(y, "gram").where(
-        "docx < docy and cx <> cy"
-        f" and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-    )
-    # beyond the columns of the smaller reach, a pair shares at most the rest of that set: ceil(t * n) - 1
-    rest = f"greatest((nx * {percent} + 99) div 100, (ny * {percent} + 99) div 100) - 1"
-    counted = both.groupBy("docx", "docy").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("nx", "ny")), *(F.min(c).alias(c) for c in ("posx", "posy")))
-    # what is left from the first shared column on bounds it too
-    pairs = counted.where(f"(100 + {percent}) * least(shared + {rest}, nx - posx, ny - posy) >= {percent} * (nx + ny)").select(F.col("docx").alias("a"), F.col("docy").alias("b"))
-    tried = best.select("a", "b").unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _linked(scratch.table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), docs, words, percent, scratch)
-    final = connected_components(links.unionByName(more), scratch)
+    # about a key in 20 bytes of text: so many buckets that a task holds some hundred thousand
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, size // (20 << 19))
+    scan = scratch.table(docs.mapInArrow(_scan(words, percent, buckets), _SCAN), "scan")
+    sizes = scan.where("keys is null").select("doc", "n", "sig_a", "sig_b")
+    keys = scan.where("keys is not null").select("bucket", "keys", "nodes")
+    edges = scratch.table(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_edges, "a long, b long"), "candidates")
+    family = connected_components(edges, scratch)
+
+    # equal sets; salted, as one text may be a third of all rows
+    held = sizes.where("n > 0 and doc is not null").withColumn("salt", F.expr("cast(pmod(xxhash64(doc), 64) as int)"))
+    by_salt = held.groupBy("sig_a", "sig_b", "n", "salt").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    equal = scratch.table(by_salt.groupBy("sig_a", "sig_b", "n").agg(F.min("least").alias("a"), F.max("most").alias("top"), F.collect_list("salt").alias("salts")), "equal")
+    shared = equal.where("a <> top").select("sig_a", "sig_b", "n", "a", F.explode("salts").alias("salt"))
+    copies = held.join(shared, ["sig_a", "sig_b", "n", "salt"]).where("doc <> a").select("a", F.col("doc").alias("b"))
+
+    # one document of each set that has a family; both halves of the signature, so no two sets are taken for one
+    member = equal.select("sig_a", "n", F.col("a").alias("doc")).join(family.select(F.col("node").alias("sig_a"), F.col("component").alias("family")), "sig_a")
+    member = scratch.table(member, "members")
+    blocks = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    wanted = spark.sparkContext.broadcast(bitmap(member.select(F.col("doc").bitwiseAND(F.lit(CANDIDATE_BITS - 1)).alias("bit")), CANDIDATE_BITS))
+    sets = docs.mapInArrow(lambda it, w=wanted: _sets(words, w.value)(it), "doc long, sig_a long, grams binary")
+    rows = sets.join(member.join(blocks, "family"), ["doc", "sig_a"]).dropDuplicates(["doc", "sig_a"]).withColumn("block", F.expr("cast(pmod(xxhash64(doc, 7), blocks) as int)"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.expr("int(block > other)").alias("side"), "doc", "grams")
+    tiles = met.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
+    links = scratch.table(tiles.mapInArrow(_product(percent), "a long, b long"), "links")
+    final = connected_components(links.unionByName(copies), scratch)
     return sizes.join(final.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
