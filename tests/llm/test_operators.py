@@ -456,10 +456,52 @@ def test_ngram_join(spark):
     assert len(check_join(rows, got, 4, 85)) > 500
     check_join(rows, ngram_join.jaccard_components(df, words=5, percent=80).collect(), 5, 80)
     kept = ngram_join.keep_one(df).collect()
-    assert {r.doc_id for r in kept} >= {9001, 9002, None} and kept[0].asDict().keys() == {"doc_id", "text", "doc", "n", "gram"}
+    assert {r.doc_id for r in kept} >= {9001, 9002, None} and [r.doc_id for r in kept].count(9006) == 1 and kept[0].asDict().keys() == {"doc_id", "text", "doc", "n", "gram"}
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_segments_of_linked_sets_meet():
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 85, 97):
+        met = linked = 0
+        for _ in range(1500):
+            x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 200)), dtype=np.uint64))
+            cut = x[rng.random(len(x)) >= rng.random() * (1 - percent / 100)]
+            y = np.unique(np.concatenate([cut, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(x) * (100 - percent) // 100)), dtype=np.uint64)]))
+            if np.array_equal(x, y) or not ngram_join.similar(len(x), len(y), len(np.intersect1d(x, y)), percent):
+                continue
+            linked += 1
+            keys, rows = ngram_join.segment_keys([x, y], percent)
+            met += bool(set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist()))
+        assert linked > 100 and met == linked, percent
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_block_product_matches_plain_counts(sides):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 40, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < rng.uniform(0.85, 1)], rng.integers(0, 500, int(rng.integers(0, 30)), dtype=np.uint64)])) for _ in range(120)]
+    sets += [np.unique(rng.integers(0, 1 << 40, 50, dtype=np.uint64)) for _ in range(5)]
+    side = np.array([i % sides for i in range(len(sets))])
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if (sides == 1 or side[i] != side[j]) and ngram_join.similar(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])), 80)]
+    a, b = ngram_join.links_of(sets, side, 80)
+    assert 0 < len(links) and len(a) < len(sets) and components(links) == components(list(zip(a.tolist(), b.tolist(), strict=True)))
+
+
+def test_ngram_join_of_families_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "FLUSH", 100)
+    rng = random.Random(6)
+    base, rows = [f"w{rng.randrange(300)}" for _ in range(90)], []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(90)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert len(check_join(rows, ngram_join.jaccard_components(df).collect(), 4, 85)) > 100
+
+
 def test_ngram_join_on_the_table(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, "documents").collect()]
     check_join(rows, QUERIES["op8_ngram_join"](spark, SF).collect(), 4, 85)

@@ -21,11 +21,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .rows import without_ids
+from .rows import with_ids, without_ids
 from .scratch import Scratch
 from .words import ASCII_LOWER, GrowingTable, Vocabulary, hash64, mix, shingle_set, slices
 
@@ -151,23 +152,23 @@ _SCAN = "bucket int, keys binary, nodes binary, doc long, n int, sig_a long, sig
 
 def _scan(k: int, percent: int, buckets: int):
     """Two kinds of rows: size and signature of each document (bucket null), and segment keys with the sets (the first
-    half of the signature) that gave them, packed by bucket of keys; bucket -1 packs edges between sets of this task."""
+    half of the signature) that gave them, packed by bucket of keys; a bucket below 0 packs edges between sets of a task."""
 
     def packed(bucket, keys, nodes):
         n, none = len(bucket), pa.nulls(len(bucket), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary()), none, pa.nulls(n, pa.int32()), none, none], names=["bucket", "keys", "nodes", "doc", "n", "sig_a", "sig_b"])
 
-    def flush(held):
+    def flush(held, part_id):
         keys, nodes, (a, b) = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
         bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         start = np.flatnonzero(np.diff(bucket, prepend=-1))
         cuts = [*start.tolist(), len(keys)]
         yield packed(bucket[start], [keys[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], [nodes[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
         if len(a):
-            yield packed([-1], [a.tobytes()], [b.tobytes()])
+            yield packed([-1 - part_id], [a.tobytes()], [b.tobytes()])
 
     def run(batches):
-        shingler, held, seen = _Shingler(k), [], set()
+        shingler, held, seen, part_id = _Shingler(k), [], set(), TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingler.sets(part.column(1).to_pylist()))
@@ -188,10 +189,10 @@ def _scan(k: int, percent: int, buckets: int):
                 if len(keys):
                     held.append((keys, high[np.array(fresh)[rows]]))
                 if sum(len(x) for x, _ in held) >= FLUSH:
-                    yield from flush(held)
+                    yield from flush(held, part_id)
                     held = []
         if held:
-            yield from flush(held)
+            yield from flush(held, part_id)
 
     return run
 
@@ -207,7 +208,7 @@ def _edges(batches):
     at, held = None, []
     for batch in batches:
         for bucket, keys, nodes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes")), strict=True):
-            if bucket == -1:
+            if bucket < 0:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (keys, nodes)], names=["a", "b"])
                 continue
             if bucket != at:
@@ -357,7 +358,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; the columns stay as they are. Null ids stay."""
-    parts = jaccard_components(docs, id_col, text_col, words, percent)
-    others = parts.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return without_ids(docs, Scratch(docs.sparkSession).table(others, "others"), id_col)
+    """The rows of docs whose id is the smallest of their component; the columns stay as they are. Of rows that repeat an
+    id one stays, that of the least text hash. Rows without an id stay: nothing names them."""
+    scratch = Scratch(docs.sparkSession)
+    parts = jaccard_components(docs, id_col, text_col, words, percent).where("doc_id is not null")
+    ids = parts.groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("times")).where("doc_id <> c or times > 1")
+    ids = scratch.table(ids.select(F.col("doc_id").alias(id_col), F.expr("doc_id = c").alias("again")), "others")
+    kept = without_ids(docs, ids.where("not again").select(id_col), id_col)
+    again = ids.where("again").select(id_col)
+    if not again.take(1):
+        return kept
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text_col), F.col(text_col))).alias("row")
+    once = with_ids(docs, again, id_col).groupBy(id_col).agg(first).select("row.*")
+    return without_ids(kept, again, id_col).unionByName(once)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,16 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 2
 
     A bitmap of fixed size (1 MB) over the ids lets most rows pass as they are; only rows whose bit is set are shuffled
     for the exact anti-join, so texts that stay do not travel. ``ids`` is read twice."""
+    rest, near = _sides(docs, ids, id_col, bits)
+    return rest.unionByName(near.join(ids, id_col, "left_anti").select(docs.columns))
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 23) -> DataFrame:
+    """The rows of docs whose integer id is in ``ids``; of the others few travel."""
+    return _sides(docs, ids, id_col, bits)[1].join(ids, id_col, "left_semi").select(docs.columns)
+
+
+def _sides(docs: DataFrame, ids: DataFrame, id_col: str, bits: int) -> tuple[DataFrame, DataFrame]:
     from .ngram_join import bitmap
 
     spark = docs.sparkSession
@@ -47,4 +58,20 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 2
 
         return docs.mapInArrow(run, docs.schema)
 
-    return side(False).unionByName(side(True).join(ids, id_col, "left_anti").select(docs.columns))
+    return side(False), side(True)
+
+
+def sampled(rows: DataFrame, id_col: str, max_rows: int, max_bytes: int, text_col: str = "text") -> pa.Table:
+    """On the driver: the rows that come first by a hash of their id, at most ``max_rows`` and, but for the first, at most
+    ``max_bytes`` of text together; whole texts, repeated rows once. Only ids, hashes and sizes are sorted."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("__hash", F.xxhash64(text_col))
+    each = rows.groupBy(id_col, "__hash").agg(F.max(F.octet_length(text_col)).alias("__bytes"))
+    first = each.orderBy(F.xxhash64(id_col), id_col, "__hash").limit(max_rows).toArrow()
+    size = np.cumsum(first["__bytes"].to_numpy())
+    first = first.slice(0, max(1, int(np.searchsorted(size, max_bytes, "right")))).drop_columns(["__bytes"])
+    if not first.num_rows:
+        return rows.drop("__hash").limit(0).toArrow()
+    chosen = spark.createDataFrame(first, schema=each.drop("__bytes").schema)  # max_rows rows of 16 bytes
+    got = rows.join(F.broadcast(chosen), [id_col, "__hash"]).dropDuplicates([id_col, "__hash"])
+    return got.drop("__hash").toArrow().sort_by([(id_col, "ascending"), (text_col, "ascending")])
