@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import sampled
 from .words import slices
 
 WINDOW = 256
@@ -29,6 +30,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.array([c > 127 or chr(c).isalpha() for c in range(256)])
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter; ``½``, ``²`` and ``①`` are none."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def to_bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -139,7 +145,7 @@ def predict(texts: list, m: LanguageModel, tables, chunk: int = 64) -> tuple[lis
     out, score = ["und"] * len(texts), [0.0] * len(texts)
     rows, parts = [], []
     for i, t in enumerate(texts):
-        if t and m.langs and _LETTER.search(t):
+        if m.langs and has_letter(t):
             parts.append(windows(to_bytes(t)))
             rows.append(np.full(len(parts[-1]), i))
     if not parts:
@@ -238,7 +244,7 @@ class Known:
     def judge(self, texts: list, langs: list) -> list[bool]:
         """``langs``: the network's, by text."""
         if not self.langs:
-            return [bool(t and _LETTER.search(t)) for t in texts]
+            return [has_letter(t) for t in texts]
         best, _, size = _likelihoods(texts, self.tables)
         at = np.array([self.langs.index(x) if x != "und" else 0 for x in langs], np.int64)
         near = best >= self.bound[at] * size - self.slack[at]
@@ -283,14 +289,12 @@ def calibrate(texts: list, langs: list, folds: int = 4, seed: int = 5) -> Known:
     return Known(names, [Trigrams(of(np.flatnonzero(label == k))) for k in range(len(names))], bound, slack)
 
 
-def sample(docs: DataFrame, folds: int = 3, held_fold: int = 1, max_rows: int = 4000, text_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list, list]:
-    """Texts and languages of at most ``max_rows`` rows chosen by hash, none of the held-out fold. For training only, a longer
-    text gives ``text_chars`` characters from a place that its hash decides. Rows without text or language are left out."""
-    text = F.col(text_col).cast("string")
+def sample(docs: DataFrame, folds: int = 3, held_fold: int = 1, max_rows: int = 4000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list, list]:
+    """Whole texts and languages of at most ``max_rows`` rows and ``max_bytes`` of text, chosen by a hash of the id, none of
+    the held-out fold. Rows without id, text or language are left out; no rows give no rows."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-    rows = docs.where((fold != held_fold) & F.col(lang_col).isNotNull() & (F.trim(text) != ""))
-    chosen = rows.select(F.xxhash64(id_col).alias("h"), id_col, F.col(lang_col).cast("string").alias("lang"), text.alias("text")).withColumn("from", F.expr(f"1 + pmod(h, greatest(1, length(text) - {text_chars}))"))
-    got = chosen.select("h", id_col, "lang", F.expr(f"substring(text, int(from), {text_chars})").alias("text")).orderBy("h", id_col, "text").limit(max_rows).toArrow()
+    rows = docs.where((fold != held_fold) & F.col(lang_col).isNotNull()).select(id_col, F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    got = sampled(rows.where(F.trim("text") != ""), id_col, max_rows, max_bytes)
     return got["text"].to_pylist(), got["lang"].to_pylist()
 
 

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import sampled
 from .words import GrowingTable, Vocabulary, slices
 
 BUCKETS = 1 << 17
@@ -160,16 +161,15 @@ def cotrain(texts: list, meta: np.ndarray, labels: np.ndarray, rounds: int = 3,
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, max_labelled: int = 3000, max_unlabelled: int = 3000, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
-    """Model from at most so many labelled and unlabelled documents, chosen by hash, none of the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, max_labelled: int = 3000, max_unlabelled: int = 3000, max_bytes: int = 32 << 20, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
+    """Model from at most so many labelled and unlabelled documents, and ``max_bytes`` of the texts of each, chosen by a
+    hash of the id, none of the held-out fold.
     Rows without id or text are left out; without both labels every score is the same."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     y = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where("y is not null").groupBy(id_col).agg(F.max("y").alias("y"))
     rows = docs.select(id_col, *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang"))).where((fold != held_fold) & F.col("text").isNotNull())
-    h = F.xxhash64(F.col(id_col))
-    ids = rows.select(id_col).distinct().join(y, id_col, "left")
-    chosen = ids.where("y is not null").orderBy(h, id_col).limit(max_labelled).unionByName(ids.where("y is null").orderBy(h, id_col).limit(max_unlabelled))
-    got = rows.join(F.broadcast(chosen), id_col).toArrow().sort_by([(id_col, "ascending"), ("text", "ascending")])  # chosen: the two limits' rows
+    known, other = rows.join(y, id_col, "left").where("y is not null"), rows.join(y, id_col, "left_anti").withColumn("y", F.lit(None).cast("int"))
+    got = pa.concat_tables([sampled(known, id_col, max_labelled, max_bytes), sampled(other, id_col, max_unlabelled, max_bytes)]).sort_by([(id_col, "ascending"), ("text", "ascending")])
     texts = got["text"].to_pylist()
     meta = np.array([layout(*x) for x in zip(texts, got["source"].to_pylist(), got["lang"].to_pylist(), strict=True)], np.float32).reshape(len(texts), 8 + HASHED)
     return cotrain(texts, meta, np.array([-1 if v is None else v for v in got["y"].to_pylist()]))

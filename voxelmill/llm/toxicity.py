@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import sampled
 from .words import ASCII_WORDS, GrowingTable, Vocabulary, slices
 
 #: Function words that tell the languages apart; any other text shares the last, common threshold.
@@ -254,8 +255,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, max_rows: int = 8000, max_chars: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Model from at most ``max_rows`` labelled rows (and ``max_chars`` characters of them), chosen by hash, none of the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, max_rows: int = 8000, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Model from at most ``max_rows`` labelled rows and ``max_bytes`` of text, chosen by a hash of the id, none of the held-out fold.
 
     Rows without id, text or label are left out; without rows of both labels the model gives one constant score.
     """
@@ -263,7 +264,5 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0,
     y = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where("y is not null").where(fold != held_fold)
     y = y.groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_rows)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(y), id_col).where("text is not null")  # y: max_rows rows
-    got = rows.select(id_col, "text", "y").toArrow().sort_by(id_col)
-    size = np.cumsum([len(t) for t in got["text"].to_pylist()])
-    n = max(1, int(np.searchsorted(size, max_chars, "right")))
-    return train(got["text"].to_pylist()[:n], got["y"].to_numpy()[:n])
+    got = sampled(rows, id_col, max_rows, max_bytes)
+    return train(got["text"].to_pylist(), got["y"].to_numpy())
