@@ -28,25 +28,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import GrowingTable, Vocabulary, slices
+from .words import ASCII_LOWER, GrowingTable, Vocabulary, slices
 
 
 #: Basic and Latin letters whose lower case is one letter.
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_LOWER = np.array([97 <= c <= 122 for c in range(256)])
+_TAIL = np.array([0xA0 <= c <= 0xBF and c != 0xB7 for c in range(256)])  # of Latin letters, after 0xC3
+_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+
+
+def _parted(texts: list) -> list[list[bytes]]:
+    """Pieces between white space of each text, A-Z in lower case; also parted between a letter and a stop, where every
+    pre-token of letters ends."""
+    whole = np.frombuffer(b"\xff".join((t or "").encode("utf-8", "surrogatepass") for t in texts).translate(ASCII_LOWER), np.uint8)
+    letter = _LOWER[whole]
+    letter[1:] |= _TAIL[whole[1:]] & (whole[:-1] == 0xC3)
+    at = np.flatnonzero(letter[:-1] & _STOP[whole[1:]]) + 1
+    return [x.split() for x in np.insert(whole, at, 32).tobytes().split(b"\xff")]
+
+
+@functools.cache
+def _tokenizers(path: str):
+    """Of a worker process: the tokenizer, one without its steps before the pairs, and which ids end a pre-token."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; waiting threads would burn others
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = None  # for words of plain letters in lower case, where neither step changes anything
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return whole, plain, np.array([whole.id_to_token(i).endswith("</w>") for i in range(whole.get_vocab_size())])
 
 
 class PieceTokenizer:
     """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer never joins text across white space.
 
-    Pieces between white space are encoded once and remembered (at most ``cap`` of them).
+    Pieces between white space are encoded once and remembered (at most ``cap`` of them), for as long as a task runs.
     """
 
-    def __init__(self, path: str, cap: int = 500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; waiting threads would burn others
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._ends = np.array([self._tokenizer.id_to_token(i).endswith("</w>") for i in range(self._tokenizer.get_vocab_size())])
+    def __init__(self, path: str, cap: int = 400_000):
+        self._tokenizer, self._plain, self._ends = _tokenizers(path)
         self._vocab = Vocabulary(cap)
         self._flat, self._start, self._len, self._hits = GrowingTable(None, np.uint32), GrowingTable(None, np.int64), GrowingTable(None, np.int64), GrowingTable(None, np.int64)
 
@@ -69,7 +90,9 @@ class PieceTokenizer:
 
     def encode(self, texts: list) -> list[np.ndarray]:
         self._forget()
-        pieces = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        if not texts:
+            return []
+        pieces = _parted(texts)
         at = self._vocab.number(list(itertools.chain.from_iterable(pieces)))
         if new := self._vocab.fresh():
             self._learn([w.decode("utf-8", "replace") for w in new])
@@ -78,32 +101,23 @@ class PieceTokenizer:
         n, start = self._len.rows[at], self._start.rows[at]
         end = np.cumsum(n)
         ids = self._flat.rows[np.repeat(start - (end - n), n) + np.arange(int(n.sum()))]
-        stop = np.concatenate([[0], end])[np.cumsum([len(p) for p in pieces])] if pieces else []
-        return np.split(ids, stop[:-1]) if pieces else []
+        stop = np.concatenate([[0], end])[np.cumsum([len(p) for p in pieces])]
+        return np.split(ids, stop[:-1])
 
     def _learn(self, words: list) -> None:
-        """Words of letters alone are one pre-token each, whose last id marks its end, so they are encoded as one text."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        ids = np.array(self._tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+        """Words of letters are one pre-token each, whose last id marks its end, so they are encoded as one text."""
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        text = " ".join(itertools.compress(words, plain)).lower()
+        ids = np.array(self._plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         stop = np.flatnonzero(self._ends[ids]) + 1
-        if len(stop) != len(plain):
-            plain, ids, stop = [], ids[:0], stop[:0]
-        known, other = set(plain), []
-        if plain:
-            other = [i for i, w in enumerate(words) if w not in known]
-        else:
-            other = list(range(len(words)))
-        rest = [e.ids for e in self._tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
-        n = np.zeros(len(words), np.int64)
-        where = np.ones(len(words), bool)
-        where[other] = False
-        n[where] = np.diff(stop, prepend=0)
-        n[other] = [len(x) for x in rest]
-        start = np.empty(len(words), np.int64)
-        base = self._flat.n
-        start[where] = base + np.concatenate([[0], stop[:-1]]) if len(stop) else []
-        m = n[other]
-        start[other] = base + len(ids) + np.cumsum(m) - m
+        if len(stop) != np.count_nonzero(plain):
+            plain[:], ids, stop = False, ids[:0], stop[:0]
+        rest = [e.ids for e in self._tokenizer.encode_batch_fast([words[i] for i in np.flatnonzero(~plain)], add_special_tokens=False)]
+        m = np.fromiter(map(len, rest), np.int64, len(rest))
+        n, start, base = np.empty(len(words), np.int64), np.empty(len(words), np.int64), self._flat.n
+        n[plain], n[~plain] = np.diff(stop, prepend=0), m
+        start[plain] = base + stop - n[plain]
+        start[~plain] = base + len(ids) + np.cumsum(m) - m
         self._flat.append(np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(rest), np.uint32, int(m.sum()))]))
         self._start.append(start)
         self._len.append(n)
@@ -112,17 +126,11 @@ class PieceTokenizer:
         return len(self.encode([text])[0])
 
 
-@functools.cache
-def tokenizer_of(path: str) -> PieceTokenizer:
-    """One for all tasks that a worker process runs; what it remembers changes no result."""
-    return PieceTokenizer(path)
-
-
 def _tokenize(path: str, end_id: int):
     """(doc, ids, n, part, queue, tail, start): a document's ids and its place in its source, within this partition."""
 
     def run(batches):
-        tokenizer, part, at = tokenizer_of(path), TaskContext.get().partitionId(), {}
+        tokenizer, part, at = PieceTokenizer(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             for piece in slices(batch, 200, 4 << 20):
                 ids = [np.append(x, np.uint32(end_id)) for x in tokenizer.encode(piece.column(1).to_pylist())]
