@@ -41,6 +41,17 @@ def solids(spark: SparkSession, sf_dir: str, dataset: int) -> DataFrame:
     return boxes(spark, sf_dir, dataset).withColumn("mesh", F.struct(F.array(*(corner(n) for n in range(8))).alias("vertices"), faces.alias("faces")))
 
 
+def turned(spark: SparkSession, sf_dir: str, dataset: int) -> DataFrame:
+    """The solids turned about z by the angle of a 3-4-5 triangle and made five times as large: (3x - 4y, 4x + 3y, 5z).
+    Corners stay integers and no face is parallel to x or y, so nothing is decided by boxes alone; distances grow
+    fivefold, volumes 125-fold, and every relation stays what it was."""
+    rows = solids(spark, sf_dir, dataset)
+    low = ("3 * low_x - 4 * high_y", "4 * low_x + 3 * low_y", "5 * low_z")
+    high = ("3 * high_x - 4 * low_y", "4 * high_x + 3 * high_y", "5 * high_z")
+    mesh = "struct(transform(mesh.vertices, p -> struct(3 * p.x - 4 * p.y as x, 4 * p.x + 3 * p.y as y, 5 * p.z as z)) as vertices, mesh.faces as faces)"
+    return rows.selectExpr("object_id", "dataset_id", *(f"{e} as {c}" for e, c in zip(low + high, MBB, strict=True)), f"{mesh} as mesh")
+
+
 def off_lines(spark: SparkSession, sf_dir: str, dataset: int) -> DataFrame:
     """(object_id, dataset_id, line) as OFF text."""
     point = lambda n: F.concat_ws(" ", *(F.col((HIGH if n >> k & 1 else LOW)[k]).cast("long").cast("string") for k in range(3)))
@@ -191,9 +202,10 @@ def normalized_boxes(spark, sf_dir):
 # -- joins ------------------------------------------------------------------------------------------------------
 
 
-def _join(name: str, **options):
+def _join(name: str, make=None, **options):
     def run(spark, sf_dir):
-        return J.spatial_join(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), name, **options)
+        own = make or solids
+        return J.spatial_join(own(spark, sf_dir, 1), own(spark, sf_dir, 2), name, **options)
 
     return run
 
@@ -207,10 +219,33 @@ def st_intersects_volumes(spark, sf_dir):
     return rows.select("id1", "id2", *(F.round(c, 4).alias(c) for c in ("vol1", "vol2", "vol_intersection")))
 
 
-def st_disjoint(spark, sf_dir):
+def disjoint_counts(spark, sf_dir):
     return J.disjoint_counts(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2))
 
 
+def st_disjoint(spark, sf_dir):
+    """Every pair without a common point, between objects of the lowest corner of space: the result is as large as
+    the product of both sides, so it is asked of parts of them."""
+    near = lambda n: solids(spark, sf_dir, n).where("low_x < 120 and low_y < 240")
+    return J.spatial_join(near(1), near(2), "st_disjoint")
+
+
+def turned_volumes(spark, sf_dir):
+    rows = J.spatial_join(turned(spark, sf_dir, 1), turned(spark, sf_dir, 2), "st_intersects", volumes=True)
+    return rows.select("id1", "id2", *(F.round(c / 125, 4).alias(n) for c, n in ((F.col(x), x) for x in ("vol1", "vol2", "vol_intersection"))))
+
+
+def turned_equals(spark, sf_dir):
+    """Dataset 1 with itself under shifted ids."""
+    a = turned(spark, sf_dir, 1)
+    return J.spatial_join(a, a.withColumn("object_id", F.col("object_id") + 1_000_000), "st_equals")
+
+
+def turned_nearest(spark, sf_dir):
+    got = N.st_nearest(turned(spark, sf_dir, 1), turned(spark, sf_dir, 2), 2, max_distance=60.0)
+    return got.select("id1", "rank", F.round(F.col("distance") / 5, 6).alias("distance"))
+
+
 def st_equals(spark, sf_dir):
     """Dataset 1 with itself under shifted ids: each solid equals its copy."""
     a = solids(spark, sf_dir, 1)
@@ -228,7 +263,7 @@ def dedup_pairs(spark, sf_dir):
 
 
 def nn_surface(spark, sf_dir):
-    return N.nn_surface(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2)).select("id1", "cx", "cy", "cz", F.round("distance", 6).alias("distance"))
+    return N.nn_surface(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2)).select("id1", "cx", "cy", "cz", "id2", F.round("distance", 6).alias("distance"))
 
 
 def nn_candidates_k2(spark, sf_dir):
@@ -238,7 +273,7 @@ def nn_candidates_k2(spark, sf_dir):
 
 def nn_tile_candidates(spark, sf_dir):
     """Nearest surface among the two nearest boxes alone."""
-    return N.nn_surface(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), mode="candidates").select("id1", F.round("distance", 6).alias("distance"))
+    return N.nn_surface(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), mode="candidates").select("id1", "id2", F.round("distance", 6).alias("distance"))
 
 
 def knn_boxes(spark, sf_dir):
@@ -246,11 +281,11 @@ def knn_boxes(spark, sf_dir):
 
 
 def st_nearest(spark, sf_dir):
-    return N.st_nearest(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), 2, max_distance=30.0).select("id1", "rank", F.round("distance", 6).alias("distance"))
+    return N.st_nearest(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), 2, max_distance=30.0).select("id1", "id2", "rank", F.round("distance", 6).alias("distance"))
 
 
 def st_nearest2(spark, sf_dir):
-    return N.st_nearest(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), 2).select("id1", "rank", F.round("distance", 6).alias("distance"))
+    return N.st_nearest(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), 2).select("id1", "id2", "rank", F.round("distance", 6).alias("distance"))
 
 
 def nn_sites(spark, sf_dir):
@@ -285,9 +320,11 @@ QUERIES = {f.__name__: f for f in (
     mbb_from_off, off_roundtrip, malformed_rows, mesh_valid, mesh_volume, hull_volume, mesh_area, mesh_perimeter, mesh_centroid, face_frames, mbb_center, mbb_buffer,
     union_tagged, space_extent, bucket_size, prefix_offsets, sample_hash, split_tokens, grid_tiles, tile_assign, tile_assign_table, tile_stats, pairs_per_tile,
     octree_tiles, octree_assign, nested_tiles, normalized_boxes, mbb_join, st_intersects_volumes, st_disjoint, st_equals, dedup_pairs, nn_surface, nn_candidates_k2,
-    nn_tile_candidates, knn_boxes, st_nearest, st_nearest2, nn_sites, nn_voronoi, quantize_12bit, codec_roundtrip, lod_vertex_counts,
+    disjoint_counts, turned_volumes, turned_equals, turned_nearest, nn_tile_candidates, knn_boxes, st_nearest, st_nearest2, nn_sites, nn_voronoi, quantize_12bit, codec_roundtrip, lod_vertex_counts,
 )} | {n: _join(n) for n in ("st_intersects", "st_touches", "st_crosses", "st_contains", "st_within", "st_adjacent", "st_overlaps")} | {
-    "st_intersects_solid": _join("st_intersects", solid=True), "st_dwithin": _join("st_dwithin", distance=10.0),
+    f"turned_{n[3:]}": _join(n, turned) for n in ("st_intersects", "st_touches", "st_contains", "st_within", "st_adjacent", "st_overlaps")
+} | {
+    "turned_dwithin": _join("st_dwithin", turned, distance=50.0), "st_intersects_solid": _join("st_intersects", solid=True), "st_dwithin": _join("st_dwithin", distance=10.0),
 }
 
 # -- the same in SQL --------------------------------------------------------------------------------------------
@@ -392,16 +429,22 @@ ORACLES = {k: _sql(v) for k, v in {
     "st_overlaps": _pair + f"({_open}) AND NOT ({_in('a', 'b', '<=')}) AND NOT ({_in('b', 'a', '<=')})",
     "st_contains": _pair + _in("b", "a", "<="),
     "st_within": _pair + _in("a", "b", "<="),
-    "st_disjoint": f"SELECT a.object_id AS id1, (SELECT count(*) FROM b2) - count(b.object_id) AS n_disjoint FROM b1 a LEFT JOIN b2 b ON {_meet('a', 'b')} GROUP BY a.object_id",
+    "st_disjoint": _pair + f"NOT ({_meet('a', 'b')}) AND " + " AND ".join(f"{x}.low_x < 120 AND {x}.low_y < 240" for x in "ab"),
+    "disjoint_counts": f"SELECT a.object_id AS id1, (SELECT count(*) FROM b2) - count(b.object_id) AS n_disjoint FROM b1 a LEFT JOIN b2 b ON {_meet('a', 'b')} GROUP BY a.object_id",
     "st_equals": "SELECT a.object_id AS id1, b.object_id + 1000000 AS id2 FROM b1 a JOIN b1 b ON a.low_x = b.low_x AND a.low_y = b.low_y AND a.low_z = b.low_z AND a.edge = b.edge",
     "st_dwithin": _pair + _gap("a", "b") + " <= 10",
-    "nn_surface": f", c AS (SELECT object_id AS id1, {_mids} FROM b1) SELECT id1, cx, cy, cz, round(min({_psurf}), 6) AS distance FROM c, b2 b GROUP BY id1, cx, cy, cz",
+    "nn_surface": f", c AS (SELECT object_id AS id1, {_mids} FROM b1) SELECT id1, cx, cy, cz, arg_min(id2, (d, id2)) AS id2, round(min(d), 6) AS distance FROM (SELECT c.*, b.object_id AS id2, {_psurf} AS d FROM c, b2 b) GROUP BY id1, cx, cy, cz",
     "nn_candidates_k2": f", c AS (SELECT object_id AS id1, {_mids} FROM b1), d AS (SELECT id1, b.object_id AS id2, {_pgap} AS g FROM c, b2 b), r AS (SELECT *, rank() OVER (PARTITION BY id1 ORDER BY g) AS r FROM d) SELECT id1, id2, round(g, 6) AS distance FROM r WHERE r <= 2",
-    "nn_tile_candidates": f", c AS (SELECT object_id AS id1, {_mids} FROM b1), d AS (SELECT id1, {_pgap} AS g, {_psurf} AS s FROM c, b2 b), r AS (SELECT *, rank() OVER (PARTITION BY id1 ORDER BY g) AS r FROM d) SELECT id1, round(min(s), 6) AS distance FROM r WHERE r <= 2 GROUP BY id1",
+    "nn_tile_candidates": f", c AS (SELECT object_id AS id1, {_mids} FROM b1), d AS (SELECT id1, b.object_id AS id2, {_pgap} AS g, {_psurf} AS s FROM c, b2 b), r AS (SELECT *, rank() OVER (PARTITION BY id1 ORDER BY g) AS r FROM d) SELECT id1, arg_min(id2, (s, id2)) AS id2, round(min(s), 6) AS distance FROM r WHERE r <= 2 GROUP BY id1",
     "knn_boxes": f", d AS (SELECT a.object_id AS id1, b.object_id AS id2, {_gap('a', 'b')} AS g FROM b1 a, b2 b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY g, id2) AS INTEGER) AS rank FROM d) SELECT id1, id2, round(g, 6) AS distance, rank FROM r WHERE rank <= 3",
-    "st_nearest": f", d AS (SELECT a.object_id AS id1, b.object_id AS id2, {_gap('a', 'b')} AS g FROM b1 a, b2 b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY g, id2) AS INTEGER) AS rank FROM d WHERE g <= 30) SELECT id1, rank, round(g, 6) AS distance FROM r WHERE rank <= 2",
-    "st_nearest2": f", d AS (SELECT a.object_id AS id1, b.object_id AS id2, {_gap('a', 'b')} AS g FROM b1 a, b2 b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY g, id2) AS INTEGER) AS rank FROM d) SELECT id1, rank, round(g, 6) AS distance FROM r WHERE rank <= 2",
+    "st_nearest": f", d AS (SELECT a.object_id AS id1, b.object_id AS id2, {_gap('a', 'b')} AS g FROM b1 a, b2 b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY g, id2) AS INTEGER) AS rank FROM d WHERE g <= 30) SELECT id1, id2, rank, round(g, 6) AS distance FROM r WHERE rank <= 2",
+    "st_nearest2": f", d AS (SELECT a.object_id AS id1, b.object_id AS id2, {_gap('a', 'b')} AS g FROM b1 a, b2 b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY g, id2) AS INTEGER) AS rank FROM d) SELECT id1, id2, rank, round(g, 6) AS distance FROM r WHERE rank <= 2",
     "nn_sites": f", p AS (SELECT object_id AS id1, {_mids} FROM b1), q AS (SELECT object_id AS id2, " + ", ".join(f"(low_{x} + high_{x}) / 2 AS s{x}" for x in "xyz") + " FROM b2), r AS (SELECT id1, id2, sqrt(" + " + ".join(f"pow(c{x} - s{x}, 2)" for x in "xyz") + ") AS g FROM p, q) SELECT id1, arg_min(id2, g * 1000000 + id2 / 1000000) AS id2, round(min(g), 6) AS distance FROM r GROUP BY id1",
     "quantize_12bit": f"SELECT object_id, {_quant} FROM b1",
     "codec_roundtrip": f"SELECT object_id, CAST(8 AS BIGINT) AS vertices, CAST(12 AS BIGINT) AS faces, {_quant} FROM b1",
 }.items()}
+#: What the turned solids must give is what the boxes give.
+ORACLES |= {f"turned_{n}": ORACLES[f"st_{n}"] for n in ("intersects", "touches", "contains", "within", "adjacent", "overlaps", "dwithin", "equals")}
+ORACLES["turned_volumes"] = ORACLES["st_intersects_volumes"]
+ORACLES["turned_nearest"] = ORACLES["st_nearest"].replace("g <= 30", "g <= 12").replace("SELECT id1, id2, rank, round", "SELECT id1, rank, round")
+

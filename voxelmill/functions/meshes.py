@@ -30,8 +30,33 @@ def _lengths(col: pa.Array) -> list:
     return [None if x is None else _Len(x) for x in pc.list_value_length(col).to_pylist()]
 
 
+def pack(mesh: pa.Array) -> pa.Array:
+    """Each mesh as bytes: the number of vertices, their coordinates, then the corners of its triangles (faces fanned).
+    Null and broken meshes are null."""
+    out = []
+    for v, faces in zip(vertices_of(mesh.field("vertices")), _faces(mesh.field("faces")), strict=True):
+        try:
+            tri = faces if faces is None or isinstance(faces, np.ndarray) else g.fan(np.arange(len(v))[:, None], faces)[:, :, 0]
+            if v is None or tri is None or tri.min(initial=0) < 0 or tri.max(initial=-1) >= len(v):
+                raise IndexError
+            out.append(np.int32(len(v)).tobytes() + v.tobytes() + tri.astype(np.int32).tobytes())
+        except (IndexError, TypeError):
+            out.append(None)
+    return pa.array([x if ok else None for x, ok in zip(out, mesh.is_valid().to_pylist(), strict=True)], pa.binary())
+
+
+def unpack(data: bytes | None) -> np.ndarray | None:
+    """Triangles of packed bytes."""
+    if data is None:
+        return None
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, np.float64, 3 * n, 4).reshape(-1, 3)[np.frombuffer(data, np.int32, offset=4 + 24 * n).reshape(-1, 3)]
+
+
 def triangles_of(mesh: pa.Array) -> list:
-    """Triangles of each mesh of a column; faces are fanned; None for null or broken meshes."""
+    """Triangles of each mesh of a column, packed or not; faces are fanned; None for null or broken meshes."""
+    if pa.types.is_binary(mesh.type):
+        return [unpack(x) for x in mesh.to_pylist()]
     out = []
     for v, faces in zip(vertices_of(mesh.field("vertices")), _faces(mesh.field("faces")), strict=True):
         if v is None or faces is None:

@@ -15,7 +15,7 @@ from . import meshes as m
 from .skeleton import skeleton as skeleton_of
 
 #: The kernels by name: a function that is sent to a worker must not name a function column of this module.
-K = {f.__name__: f for f in (g.mbb, g.volume, g.area, g.hull_volume, g.centroid, g.intersection_volume, g.solid_distance, m.parse_off, m.to_off, c.encode, c.decode, c.quantize)}
+K = {f.__name__: f for f in (g.mbb, g.volume, g.area, g.hull_volume, g.centroid, g.intersection_volume, m.parse_off, m.to_off, c.encode, c.decode, c.quantize)}
 _REAL, _TEXT, _BOOL, _BYTES = T.DoubleType(), T.StringType(), T.BooleanType(), T.BinaryType()
 _VALID = T.StructType([T.StructField("valid", _BOOL), T.StructField("reason", _TEXT)])
 _FRAME = T.ArrayType(T.StructType([T.StructField("normal", POINT), T.StructField("barycenter", POINT), T.StructField("area", _REAL)]))
@@ -30,6 +30,12 @@ def parse_off(line: pa.Array) -> pa.Array:
     return m.to_mesh([K["parse_off"](x) for x in line.to_pylist()])
 
 
+@arrow_udf(_BYTES)
+def pack(mesh: pa.Array) -> pa.Array:
+    """The mesh as bytes, which joins carry; functions of solids take either form."""
+    return m.pack(mesh)
+
+
 @arrow_udf(_TEXT)
 def to_off(mesh: pa.Array) -> pa.Array:
     return pa.array([None if r is None else K["to_off"](*r) for r in m.raw_of(mesh)], pa.string())
@@ -100,6 +106,9 @@ def predicate(name: str, distance: float = 0.0, solid: bool = False):
     def holds(a: pa.Array, b: pa.Array) -> pa.Array:
         x, y = m.triangles_of(a), m.triangles_of(b)
         pairs = [(p, q) if p is not None and q is not None and len(p) and len(q) else None for p, q in zip(x, y, strict=True)]
+        if name == "st_dwithin":
+            near = iter(g.within([p for p in pairs if p], distance).tolist())
+            return pa.array([None if p is None else next(near) for p in pairs], pa.bool_())
         meets = g.surfaces_meet_many([p or (np.empty((0, 3, 3)),) * 2 for p in pairs])
         return pa.array([None if p is None else bool(g.holds(name, *p, distance=distance, solid=solid, meets=bool(k))) for p, k in zip(pairs, meets, strict=True)], pa.bool_())
 
@@ -114,7 +123,9 @@ def intersection_volume(a: pa.Array, b: pa.Array) -> pa.Array:
 @arrow_udf(_REAL)
 def distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Least distance of two solids; 0 where they have a point in common."""
-    return pa.array([None if p is None or q is None or not len(p) or not len(q) else K["solid_distance"](p, q) for p, q in zip(m.triangles_of(a), m.triangles_of(b), strict=True)], pa.float64())
+    pairs = [(p, q) if p is not None and q is not None and len(p) and len(q) else None for p, q in zip(m.triangles_of(a), m.triangles_of(b), strict=True)]
+    got = iter(g.solid_distances([p for p in pairs if p]).tolist())
+    return pa.array([None if p is None else next(got) for p in pairs], pa.float64())
 
 
 @arrow_udf(_REAL)
@@ -159,10 +170,18 @@ def skeleton(mesh: pa.Array) -> pa.Array:
     return pa.array([None if r is None else [dict(zip("xyz", p, strict=True)) for p in skeleton_of(*r).tolist()] for r in m.raw_of(mesh)], pa.list_(m.POINT))
 
 
+@arrow_udf(_BOOL)
+def dwithin(a: pa.Array, b: pa.Array, distance: pa.Array) -> pa.Array:
+    """Whether two solids come within a distance of each other; null where a mesh is."""
+    rows = [(p, q, d) if p is not None and q is not None and d is not None and len(p) and len(q) else None for p, q, d in zip(m.triangles_of(a), m.triangles_of(b), distance.to_pylist(), strict=True)]
+    return pa.array([None if r is None else bool(g.within([r[:2]], float(r[2]))[0]) for r in rows], pa.bool_())
+
+
 def register(spark: SparkSession) -> list[str]:
     """Name every function ``st3d_<name>`` in the session's SQL."""
-    own = {f"st3d_{n}": f for n, f in (("parse_off", parse_off), ("to_off", to_off), ("mbb", mbb), ("volume", volume), ("area", area), ("hull_volume", hull_volume), ("perimeter", perimeter), ("centroid", centroid), ("face_frames", face_frames), ("is_valid", is_valid), ("intersects", intersects), ("intersection_volume", intersection_volume), ("distance", distance), ("point_distance", point_distance), ("encode", encode), ("decode", decode), ("quantize", quantize), ("skeleton", skeleton))}
+    own = {f"st3d_{n}": f for n, f in (("parse_off", parse_off), ("to_off", to_off), ("mbb", mbb), ("volume", volume), ("area", area), ("hull_volume", hull_volume), ("perimeter", perimeter), ("centroid", centroid), ("face_frames", face_frames), ("is_valid", is_valid), ("intersects", intersects), ("intersection_volume", intersection_volume), ("distance", distance), ("pack", pack), ("point_distance", point_distance), ("encode", encode), ("decode", decode), ("quantize", quantize), ("skeleton", skeleton))}
     own |= {f"st3d_{n}": predicate(f"st_{n}", solid=n == "solid") for n in ("touches", "crosses", "contains", "adjacent", "disjoint", "equals", "within", "overlaps")}
+    own["st3d_dwithin"] = dwithin
     for name, f in own.items():
         spark.udf.register(name, f)
     return sorted(own)

@@ -48,24 +48,24 @@ def candidates(a: DataFrame, b: DataFrame, grid: Grid | None = None, expand: flo
 
 
 def with_meshes(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """pairs(id1, id2, …) with mesh1 and mesh2, fetched by id."""
-    ids = pairs.join(a.select(F.col("object_id").alias("id1"), F.col("mesh").alias("mesh1")), "id1")
-    return ids.join(b.select(F.col("object_id").alias("id2"), F.col("mesh").alias("mesh2")), "id2")
+    """pairs(id1, id2, …) with mesh1 and mesh2 as bytes, fetched by id; only objects that have a pair are decoded and packed."""
+    for n, side in ((1, a), (2, b)):
+        own = side.where("mesh is not null").select(F.col("object_id").alias(f"id{n}"), udfs.pack("mesh").alias(f"mesh{n}"))
+        pairs = pairs.join(own, f"id{n}")
+    return pairs
 
 
 def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", distance: float | None = None, solid: bool = False, grid: Grid | None = None, volumes: bool = False) -> DataFrame:
     """(id1, id2 [, vol1, vol2, vol_intersection]) of the pairs for which a predicate of two solids holds.
 
-    ``st_intersects`` is about surfaces; with ``solid`` a solid inside another intersects it too. ``st_disjoint`` is
-    the complement of all pairs and thus quadratic; ``disjoint_counts`` sums it up without making them.
+    ``st_intersects`` is about surfaces; with ``solid`` a solid inside another intersects it too. ``st_disjoint`` gives
+    the complement of all pairs (``disjoint_pairs``); ``disjoint_counts`` sums it up without making them.
     Null or unreadable meshes match nothing.
     """
     if predicate == "st_dwithin" and not (distance and distance > 0):
         raise ValueError("st_dwithin takes a distance above 0")
     if predicate == "st_disjoint":
-        near = spatial_join(a, b, "st_intersects", solid=True, grid=grid)
-        every = a.select(F.col("object_id").alias("id1")).crossJoin(b.select(F.col("object_id").alias("id2")))  # the result itself is this large
-        return every.join(near, ["id1", "id2"], "left_anti")
+        return disjoint_pairs(a, b, grid)
     pairs = candidates(a, b, grid, distance or 0.0)
     if predicate in FILTER:
         pairs = pairs.where(FILTER[predicate])
@@ -79,6 +79,18 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", d
     return rows.select("id1", "id2")
 
 
+def disjoint_pairs(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> DataFrame:
+    """(id1, id2) of all pairs with no point in common. The result is about as large as both counts multiplied: each
+    object of a takes the whole id list of b in blocks of 1,024 without those that it meets."""
+    parts = max(1, b.count() // 1024)
+    block = F.pmod(F.xxhash64("id2"), F.lit(parts))
+    met = spatial_join(a, b, "st_intersects", solid=True, grid=grid).withColumn("block", block).groupBy("id1", "block").agg(F.collect_list("id2").alias("met"))
+    lists = b.where("mesh is not null").select(F.col("object_id").alias("id2")).withColumn("block", block).groupBy("block").agg(F.collect_list("id2").alias("ids"))
+    blocks = a.where("mesh is not null").select(F.col("object_id").alias("id1"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block"))
+    rows = blocks.join(lists, "block").join(met, ["id1", "block"], "left")
+    return rows.select("id1", F.explode(F.array_except("ids", F.coalesce("met", F.array().cast("array<long>")))).alias("id2"))
+
+
 def disjoint_counts(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> DataFrame:
     """(id1, n_disjoint): for each object of a, how many of b it has no point in common with."""
     near = spatial_join(a, b, "st_intersects", solid=True, grid=grid).groupBy("id1").agg(F.count("*").alias("n"))

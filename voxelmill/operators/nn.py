@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import udfs
 from ..schema import HIGH, LOW, MBB
 from ..scratch import Scratch
+from .join import with_meshes
 
 
 def _gap2(a: str, b: str) -> str:
@@ -120,7 +121,7 @@ def nn_surface(a: DataFrame, b: DataFrame, mode: str = "exact", k: int = 2) -> D
 
     def refined(found):
         cols = found.select("id1", "id2", *(F.col(f"a_{c}").alias(f"c{c[-1]}") for c in LOW))
-        rows = cols.join(b.select(F.col("object_id").alias("id2"), "mesh"), "id2").select("id1", "cx", "cy", "cz", "id2", udfs.point_distance("cx", "cy", "cz", "mesh").alias("distance"))
+        rows = cols.join(solid.select(F.col("object_id").alias("id2"), udfs.pack("mesh").alias("mesh")), "id2").select("id1", "cx", "cy", "cz", "id2", udfs.point_distance("cx", "cy", "cz", "mesh").alias("distance"))
         return nearest(rows).select("id1", "cx", "cy", "cz", "id2", "distance")
 
     near = refined(box_neighbours(points, solid, k if mode == "candidates" else 1))
@@ -147,11 +148,10 @@ def knn_boxes(a: DataFrame, b: DataFrame, k: int = 1, max_distance: float | None
 def st_nearest(a: DataFrame, b: DataFrame, k: int = 1, max_distance: float | None = None) -> DataFrame:
     """(id1, id2, distance, rank): the k nearest meshes by solid distance (0 for solids that meet), within a distance if one is given."""
     solid = b.where("mesh is not null")
-    m1, m2 = (x.select(F.col("object_id").alias(f"id{n}"), F.col("mesh").alias(f"mesh{n}")) for n, x in ((1, a.where("mesh is not null")), (2, b)))
     w = Window.partitionBy("id1").orderBy("distance", "id2")
 
     def refined(found):
-        rows = found.select("id1", "id2").join(m1, "id1").join(m2, "id2").select("id1", "id2", udfs.distance("mesh1", "mesh2").alias("distance"))
+        rows = with_meshes(found.select("id1", "id2"), a, solid).select("id1", "id2", udfs.distance("mesh1", "mesh2").alias("distance"))
         return rows.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}")
 
     # exact distances of the k nearest boxes bound the search; with fewer than k, all are within reach

@@ -69,6 +69,9 @@ class Grid:
 
     @classmethod
     def of(cls, extent_row, bucket: int | None = None, shape=None, objects: int | None = None) -> Grid:
+        """A grid over an extent; over no boxes, one unit cell."""
+        if extent_row[LOW[0]] is None:
+            return cls([0.0] * 3, [1.0] * 3, (1, 1, 1))
         low, high = [extent_row[c] for c in LOW], [extent_row[c] for c in HIGH]
         shape = shape or grid_shape([h - lo for lo, h in zip(low, high, strict=True)], objects or extent_row["n"], bucket)
         return cls(low, high, shape)
@@ -98,7 +101,8 @@ def octree_tiles(boxes: DataFrame, bucket: int, max_level: int = 10) -> DataFram
         counts = live.groupBy("path").agg(F.count("*").alias("n"))
         known = scratch.table(cells.join(counts, "path", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), f"cells{level}")
         split = (F.col("n") > bucket) & F.lit(level < max_level)
-        leaf = known.where(~split).select(F.concat(F.lit("OT"), "path").alias("tile_id"), *(corner(k, level, F.col(c)).alias(LOW[k]) for k, c in enumerate(("ix", "iy", "iz"))), *(corner(k, level, F.col(c) + 1).alias(HIGH[k]) for k, c in enumerate(("ix", "iy", "iz"))), "n")
+        named = [F.concat(F.lit("OT"), "path").alias("tile_id"), *(corner(k, level, F.col(c)).alias(LOW[k]) for k, c in enumerate(("ix", "iy", "iz"))), *(corner(k, level, F.col(c) + 1).alias(HIGH[k]) for k, c in enumerate(("ix", "iy", "iz"))), "n"]
+        leaf = known.where(~split).select(*named)
         done = leaf if done is None else done.unionByName(leaf)
         parents = known.where(split).select("path", "ix", "iy", "iz")
         if not parents.take(1):
@@ -110,6 +114,12 @@ def octree_tiles(boxes: DataFrame, bucket: int, max_level: int = 10) -> DataFram
         rows = live.join(parents.select("path"), "path", "left_semi").select(*MBB, "path", "ix", "iy", "iz", octant).selectExpr(*MBB, "concat(path, o) as path", *(f"{e} as {c}" for c, e in child.items()))
         rows = rows.select("*", *(corner(k, level + 1, F.col(c)).alias(f"c_{LOW[k]}") for k, c in enumerate(("ix", "iy", "iz"))), *(corner(k, level + 1, F.col(c) + 1).alias(f"c_{HIGH[k]}") for k, c in enumerate(("ix", "iy", "iz"))))
         live = scratch.table(rows.where(inside).select(*MBB, "path", "ix", "iy", "iz"), f"live{level}")
+        held = live.groupBy(F.substring("path", 1, level).alias("path")).agg(F.count("*").alias("held"))
+        useless = scratch.table(known.where(split).join(held, "path").where("held >= 8 * n").drop("held"), f"useless{level}")
+        if useless.take(1):
+            done = done.unionByName(useless.select(*named))
+            parent = useless.select(F.col("path").alias("_parent"))
+            cells, live = (x.withColumn("_parent", F.substring("path", 1, level)).join(parent, "_parent", "left_anti").drop("_parent") for x in (cells, live))
     return done
 
 
@@ -123,6 +133,8 @@ def nested_tiles(outer: DataFrame, shape=(2, 2, 2)) -> DataFrame:
 
 def normalize(boxes: DataFrame, extent_row, back: bool = False) -> DataFrame:
     """Corners scaled to the unit cube of an extent, or back."""
+    if extent_row[LOW[0]] is None:  # an extent of no boxes
+        return boxes
     out = {}
     for k in range(3):
         lo, w = extent_row[LOW[k]], (extent_row[HIGH[k]] - extent_row[LOW[k]]) or 1.0

@@ -20,8 +20,9 @@ def with_meshes(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 def read_off_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(object_id, dataset_id, line): dataset ids 1, 2, … in the order of the paths. object_id is unique over all of
-    them and stable for unchanged files: it packs file number and line position. Empty lines are skipped, a carriage
-    return at a line's end is cut, and a last line without line end is read like any other."""
+    them; it depends on how files are split for reading, so keep the rows (``SpatialEngine.compress`` does) before
+    ids are used twice. Empty lines are skipped, a carriage return at a line's end is cut, and a last line without line
+    end is read like any other."""
     parts = [spark.read.text(p).select(F.lit(n).alias("dataset_id"), F.rtrim(F.regexp_replace("value", r"\r$", "")).alias("line")) for n, p in enumerate(paths, 1)]
     out = parts[0]
     for p in parts[1:]:
@@ -46,5 +47,6 @@ def read_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_boxes(boxes: DataFrame, path: str, mode: str = "overwrite") -> None:
-    names = [c.split()[0] for c in BOX_SCHEMA.split(", ")]
-    boxes.select(*(F.col(c) if c in boxes.columns else F.lit(None).alias(c) for c in names)).write.mode(mode).option("sep", "\t").csv(path)
+    """Box rows as TAB-separated text; columns that are missing are written as empty fields."""
+    names = [c.split() for c in BOX_SCHEMA.split(", ")]
+    boxes.select(*((F.col(c) if c in boxes.columns else F.lit(None)).cast(kind).alias(c) for c, kind in names)).write.mode(mode).option("sep", "\t").csv(path)
