@@ -110,6 +110,8 @@ def predicate(name: str, distance: float = 0.0, solid: bool = False):
             near = iter(g.within([p for p in pairs if p], distance).tolist())
             return pa.array([None if p is None else next(near) for p in pairs], pa.bool_())
         meets = g.surfaces_meet_many([p or (np.empty((0, 3, 3)),) * 2 for p in pairs])
+        if name == "st_intersects" and not solid:
+            return pa.array([None if p is None else bool(k) for p, k in zip(pairs, meets, strict=True)], pa.bool_())
         return pa.array([None if p is None else bool(g.holds(name, *p, distance=distance, solid=solid, meets=bool(k))) for p, k in zip(pairs, meets, strict=True)], pa.bool_())
 
     return holds

@@ -48,11 +48,14 @@ def candidates(a: DataFrame, b: DataFrame, grid: Grid | None = None, expand: flo
 
 
 def with_meshes(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """pairs(id1, id2, …) with mesh1 and mesh2 as bytes, fetched by id; only objects that have a pair are decoded and packed."""
+    """pairs(id1, id2, …) with mesh1 and mesh2 as bytes, fetched by id. The exact tests that follow cost far more than moving
+    a pair, so pairs are dealt out once more: by both ids, which spreads objects with many pairs, and in a given number of
+    partitions, which adaptive execution does not merge by their bytes."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for n, side in ((1, a), (2, b)):
         own = side.where("mesh is not null").select(F.col("object_id").alias(f"id{n}"), udfs.pack("mesh").alias(f"mesh{n}"))
         pairs = pairs.join(own, f"id{n}")
-    return pairs
+    return pairs.repartition(4 * parts, "id1", "id2")
 
 
 def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", distance: float | None = None, solid: bool = False, grid: Grid | None = None, volumes: bool = False) -> DataFrame:
@@ -70,10 +73,8 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", d
     if predicate in FILTER:
         pairs = pairs.where(FILTER[predicate])
     rows = with_meshes(pairs.select("id1", "id2"), a, b)
-    if predicate == "st_intersects" and not solid:
-        rows = rows.where(udfs.intersects("mesh1", "mesh2"))
-    else:
-        rows = rows.where(udfs.predicate(predicate, distance or 0.0, solid)("mesh1", "mesh2"))
+    # marked as nondeterministic, or Catalyst moves the test below the exchange, into the few tasks of the join
+    rows = rows.where(udfs.predicate(predicate, distance or 0.0, solid).asNondeterministic()("mesh1", "mesh2"))
     if volumes:
         return rows.select("id1", "id2", udfs.volume("mesh1").alias("vol1"), udfs.volume("mesh2").alias("vol2"), udfs.intersection_volume("mesh1", "mesh2").alias("vol_intersection"))
     return rows.select("id1", "id2")
