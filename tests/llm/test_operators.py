@@ -3,6 +3,7 @@
 import hashlib
 import html
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -417,6 +418,28 @@ def test_html_wrappers_named_like_parts():
         assert html_extract.extract(f"<div>{paragraphs}</div><div {part}>{paragraphs * 3}</div>") == text, part
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<p class=\"x>" * n, lambda n: "<a " * n, lambda n: "<! " * n, lambda n: "<p title='a" * n + f"<p>{GOOD}</p>",
+        lambda n: "<article>" + "<p>Short words</p>" * n + "</article>", lambda n: "<p>Short words</p>" * n + f"<p>{GOOD}</p>" + "<p>Short</p>" * n,
+        lambda n: "<div>" * n + "</section>" * n,
+    ],
+)
+def test_html_takes_time_in_proportion(page):
+    extract, took = html_extract.extract, []
+    for n in (4000, 32000):
+        began = time.process_time()
+        extract(page(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 0.2 + 24 * took[0]  # 8 times the length; 64 times the time if it grew with the square
+
+
+def test_html_quotes_that_hold_markup():
+    paragraph = f"<p onclick='if (a<b) {{ x > 1 }}' title=\"1 > 0 <b>\">{GOOD}</p>"
+    assert html_extract.extract(f"<body>{paragraph}</body>") == html_extract.extract(f"<body><p>{GOOD}</p></body>") != ""
+
+
 # -- 8: n-gram join ---------------------------------------------------------------------------------------------
 
 

@@ -18,14 +18,19 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices
+
+#: What follows a tag's name. A quote that closes neither before the next tag nor soon is a character like any other.
+_REST = r"(?>[^<>\"']+|\"[^\"<]*\"|\"[^\"]{0,4000}\"|'[^'<]*'|'[^']{0,4000}'|[\"'])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b" + _REST + r">.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _REST + r")>|<[!?][^<>]*+>",
     re.S | re.I,
 )
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -61,6 +66,7 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tupl
     inside: list[int] = []
     within: list[tuple[int, ...]] = []
     never, main, mains, firm = 0, 0, 0, set()
+    opened: Counter = Counter()
 
     def close():
         nonlocal text, linked
@@ -106,12 +112,14 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tupl
             bad = kind != PLAIN and m.start() not in wrappers
             if name in _BLOCK or name in _NEVER or bad or only:
                 if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends at the next
+                    opened["p"] -= 1
                     if stack.pop()[1]:
                         never -= 1
                         inside.pop()
                 if (bad or only) and name not in _BLOCK:
                     close()
                 stack.append((name, bad, main))
+                opened[name] += 1
                 if bad:
                     never += 1
                     inside.append(m.start() + 1 if kind == LAYOUT else -m.start() - 1)
@@ -120,11 +128,12 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tupl
                     main = mains
                     if only:
                         firm.add(main)
-        elif any(x[0] == name for x in stack):
+        elif opened[name]:
             if name not in _BLOCK and name not in _NEVER:
                 close()
             while stack:
                 x, bad, before = stack.pop()
+                opened[x] -= 1
                 if bad:
                     never -= 1
                     inside.pop()
@@ -216,12 +225,21 @@ def extract(page: str | None) -> str:
             found = [(*b[:3], 0) for b in found]
             label = first_pass(found)
     filled = {b[3] for b, x in zip(found, label, strict=True) if x == GOOD}
+    before, after = ({}, {})  # by undecided block: the nearest decided one of its element on either side
+    for side, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last: dict[int, int] = {}
+        for i in order:
+            main = found[i][3]
+            if label[i] != OPEN:
+                if not (main and found[i][2]):
+                    last[main] = i
+            elif main in last:
+                side[i] = last[main]
     out = []
     for i, (body, _, _, main) in enumerate(found):
         kind = label[i]
         if kind == OPEN:
-            near = [next(((abs(j - i), label[j]) for j in run if label[j] != OPEN and found[j][3] == main and not (main and found[j][2])), None) for run in (range(i - 1, -1, -1), range(i + 1, len(found)))]
-            near = [x for x in near if x]
+            near = [(abs(side[i] - i), label[side[i]]) for side in (before, after) if i in side]
             if near:
                 least = min(x[0] for x in near)
                 kind = GOOD if any(x == (least, GOOD) for x in near) else BAD
@@ -241,7 +259,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def run(batches):
         for batch in batches:
-            text = [extract(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for part in slices(batch, 500, 8 << 20):
+                text = [extract(x) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(id_col, url_col, F.col(html_col).cast("string")).mapInArrow(run, f"page_id {kind}, url {url}, text string, n_chars long")
