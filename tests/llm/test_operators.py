@@ -175,6 +175,11 @@ def test_chat_windows(spark):
     assert fresh == [(r, t) for _, _, r, t, _, _ in rows[:30]]
     targets = [chat.unescape(r.text[a:b]) for r in one for a, b in zip(r.loss_from, r.loss_to, strict=True)]
     assert targets == [t for _, _, r, t, _, _ in rows[:30] if r == "assistant"]
+    tokenizer = packing.PieceTokenizer(tokenizer_path())
+    assert all(sum(tokenizer.count("".join(chat.render(*t))) for t in chat.parse(r.text)) == r.tokens for r in got)  # marks count
+    wide = [(1, 0, "system", "w " * 90, 1, "x")] + [(1, i, "user", "w " * 50, 1, "x") for i in range(1, 9)]
+    wide = chat.format_windows(turns_of(spark, wide), tokenizer_path(), budget=115).collect()
+    assert len(wide) > 3 and all(r.tokens <= 115 for r in wide)  # no room for the system turn
     two = [t for r in got if r.conv_id == 2 for t in chat.parse(r.text)[r.n_repeated :]]
     assert two == [("", ""), ("assistant", "\\[INST] <<SYS>> \\"), ("assistant", "\\[INST] <<SYS>> \\"), ("tool<</ROLE>>", "</s><</TURN>>")]
     assert [r.tokens > 120 for r in got if r.conv_id is None] == [True]

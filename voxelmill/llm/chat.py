@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import PieceTokenizer
+from .words import slices
 
 CONTROL = ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<<ROLE>>", "<</ROLE>>", "<</TURN>>")
 _FORM = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -94,7 +95,7 @@ class _Windows:
                 break
             room -= turn[2]
             keep.insert(0, turn)
-        if self.system:
+        if self.system and self.system[2] + tokens <= self.budget:
             keep.insert(0, self.system)
         self.turns = [(r, t, False) for r, t, _ in keep]
         self.repeated = sum(k for *_, k in keep)
@@ -124,15 +125,18 @@ def _format(path: str, budget: int, history: int, names: list, kind: pa.DataType
         tokenizer, now, out = PieceTokenizer(path), None, []
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(schema)], names=names)
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
-                if now is None or conv != now.conv:
-                    if now is not None:
-                        out += now.end()
-                    now = _Windows(conv, budget, history)
-                out += now.add(role or "", text or "", tokenizer.count(text))
-            if out:
-                yield pack(out)
-                out = []
+            for part in slices(batch, 500, 4 << 20):
+                convs, roles, texts = part.column(0).to_pylist(), *([x or "" for x in part.column(c).to_pylist()] for c in (2, 3))
+                sizes = [len(x) for x in tokenizer.encode(["".join(render(*x)) for x in zip(roles, texts, strict=True)])]
+                for conv, role, text, tokens in zip(convs, roles, texts, sizes, strict=True):
+                    if now is None or conv != now.conv:
+                        if now is not None:
+                            out += now.end()
+                        now = _Windows(conv, budget, history)
+                    out += now.add(role, text, tokens)
+                if out:
+                    yield pack(out)
+                    out = []
         if now is not None:
             yield pack(list(now.end()))
 
@@ -144,7 +148,9 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = 1024, hi
     before), tokens, loss_from and loss_to (code points of the targets in text, escaped form).
 
     Rows are ordered by turn (nulls first), then role, then text; all rows are kept, repeated ones too. Null role or
-    text: empty. Rows without a conv_id form one conversation. Other columns are ignored; no rows give no rows.
+    text: empty. Rows without a conv_id form one conversation. Tokens are those of the turns as they are written, marks and
+    escapes included. A window exceeds ``budget`` only where one turn alone does; that turn then has a window of its own,
+    and a system turn is left out of the windows whose first new turn leaves it no room. Other columns are ignored; no rows give no rows.
     A conversation streams through its task in sorted order; only one window of it is held.
     """
     kind = turns.schema[conv_col].dataType.simpleString()

@@ -10,7 +10,7 @@ main text (navigation, forms, scripts, asides, footers and the like), or of whic
 names such a part, are bad whatever their words; only a form or a layout part that holds most of the good text of its
 page is a wrapper like any other. On a page whose long blocks hold almost no stop words (a language without a list, or
 lists, tables and code) long blocks with few links are good by length and links alone; on others such a block without
-stop words is undecided.
+stop words is undecided. Where no block is good, undecided blocks stay whose decided neighbours are all in such parts.
 """
 
 from __future__ import annotations
@@ -235,10 +235,13 @@ def extract(page: str | None) -> str:
                     last[main] = i
             elif main in last:
                 side[i] = last[main]
-    out = []
+    out, bare = [], GOOD not in label
     for i, (body, _, _, main) in enumerate(found):
         kind = label[i]
         if kind == OPEN:
+            if bare and all(found[side[i]][2] for side in (before, after) if i in side):
+                out.append(body)  # nothing is good, and only menus and the like stand beside it: a short text is the text
+                continue
             near = [(abs(side[i] - i), label[side[i]]) for side in (before, after) if i in side]
             if near:
                 least = min(x[0] for x in near)
