@@ -11,10 +11,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh local folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a fresh local folder in local mode (tests); on a cluster
+    other machines would not see one, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="voxelmill-")
@@ -22,12 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Names, writes and removes the tables of one run. A table cuts the lineage: lost executors cost no recomputation."""
+    """Names and writes the tables of one run. A table cuts the lineage: lost executors cost no recomputation. ``drop`` removes
+    a table that nothing reads any more; what results still read goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/voxelmill-{uuid.uuid4().hex}"
         self._n = 0
+        self._fs(self.root).deleteOnExit(self._path(self.root))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -39,7 +44,11 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._fs(t._scratch_path).delete(self._path(t._scratch_path), True)
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path: str):
+        return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
