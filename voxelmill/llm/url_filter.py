@@ -4,8 +4,8 @@ The cascade answers exactly whether a key is listed, for every key of a known un
 of the listed keys, level 1 one of the other keys of the universe that level 0 lets through, level 2 one of the
 listed keys that level 1 lets through, and so on until nothing is left. A key's level is the first filter without
 it; listed keys leave at odd levels or last through. The universe is every host of the corpus with every suffix of it, so no
-host is left to chance. Filters are arrays of 64-bit words in the plan itself: judging a row takes no join and no
-shuffle.
+host is left to chance. A filter is one binary value that all its look-ups in the plan share: judging a row takes no join
+and no shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +28,22 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass
 class Level:
-    words: list  # of 64 bits
+    data: bytes  # bit n is bit n % 8 of byte n // 8
     hashes: int
     seed: int
 
 
-def _bits(key: Column, seed: int, hashes: int, n_words: int) -> list[Column]:
+def _bits(key: Column, seed: int, hashes: int, size: int) -> list[Column]:
     """Bit numbers of a key by double hashing."""
     a, b = F.xxhash64(key, F.lit(seed)), F.xxhash64(F.lit(seed), key).bitwiseOR(F.lit(1))
-    a, b = F.pmod(a, F.lit(64 * n_words)), F.pmod(b, F.lit(64 * n_words - 1)) + 1
-    return [F.pmod(a + b * i, F.lit(64 * n_words)) for i in range(hashes)]
+    a, b = F.pmod(a, F.lit(size)), F.pmod(b, F.lit(size - 1)) + 1
+    return [F.pmod(a + b * i, F.lit(size)) for i in range(hashes)]
 
 
 def _in_level(key: Column, level: Level) -> Column:
-    words = F.lit(level.words)
-    hit = [F.getbit(F.get(words, (bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1 for bit in _bits(key, level.seed, level.hashes, len(level.words))]
+    data = F.lit(level.data)
+    byte = lambda bit: F.conv(F.hex(F.substring(data, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = [F.getbit(byte(bit), F.pmod(bit, F.lit(8)).cast("int")) == 1 for bit in _bits(key, level.seed, level.hashes, 8 * len(level.data))]
     return reduce(Column.__and__, hit)
 
 
@@ -66,13 +68,11 @@ def build(keys: DataFrame, key: str = "key", listed: str = "listed", bits_per_ke
             return levels
         if count > max_keys:
             raise ValueError(f"{count} keys in level {n}; a broadcast filter holds at most {max_keys}")
-        n_words = max(1, -(-count * bits_per_key // 64))
-        bit = own.select(F.explode(F.array(*_bits(F.col(key), n, hashes, n_words))).alias("bit"))
-        word = bit.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-        words = [0] * n_words
-        for w, b in zip(*(c.to_pylist() for c in word.toArrow().columns), strict=True):
-            words[w] = b
-        levels.append(Level(words, hashes, n))
+        data = np.zeros(max(8, -(-count * bits_per_key // 8)), np.uint8)
+        bit = own.select(F.explode(F.array(*_bits(F.col(key), n, hashes, 8 * len(data)))).alias("bit"))
+        ones = bit.groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("ones")).toArrow()
+        data[ones["byte"].to_numpy()] = ones["ones"].to_numpy()
+        levels.append(Level(data.tobytes(), hashes, n))
         inside = _in_level(F.col(key), levels[-1])
         rest[side], rest[not side] = own, rest[not side].where(inside)
     raise ValueError(f"false positives are left after {max_levels} levels")
