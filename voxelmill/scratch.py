@@ -32,12 +32,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/voxelmill-{uuid.uuid4().hex}"
         self._n = 0
-        self._fs(self.root).deleteOnExit(self._path(self.root))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if self._n == 1:
+            self._fs(self.root).deleteOnExit(self._path(self.root))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
