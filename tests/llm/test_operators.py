@@ -234,6 +234,35 @@ def test_embedding_recall_at_the_threshold():
     assert ((far <= half).sum(axis=1) >= least).mean() < 0.01
 
 
+def test_embedding_classes_of_equal_vectors(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.standard_normal(16)
+    near = hot + rng.standard_normal(16) * 0.02
+    far = rng.standard_normal(16)
+    vectors = [hot] * 1500 + [near, near, far, far * 1e200, far * 1e-200, -far] + [rng.standard_normal(16) for _ in range(300)]
+    rows = [(9000 - i, [float(x) for x in v], "a") for i, v in enumerate(vectors)]
+    rows += [(9000, rows[0][1], "a"), (9501, rows[0][1], "b"), (9502, [-0.0, 1.0], "b"), (9503, [0.0, 2.0], "b"), (None, rows[0][1], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = defaultdict(list)
+    for r in embedding_dedup.near_duplicates(df, block_rows=100).collect():
+        got[r.vec_id].append(tuple(r)[1:])
+    assert sum(map(len, got.values())) == len(rows) and len(got[9000]) == 2
+    for i in range(1502):
+        assert set(got[9000 - i]) == {(1501, 9000 - 1501, i == 1501)}
+    for i in (1502, 1503, 1504):
+        assert got[9000 - i] == [(2, 9000 - 1504, i == 1504)]
+    assert got[9000 - 1505] == [(0, 9000 - 1505, True)] and got[9501] == [(0, 9501, True)]
+    assert got[9502] == [(1, 9502, True)] and got[9503] == [(1, 9502, False)] and got[None] == [(0, None, True)]
+
+
+def test_embedding_collisions_are_counted_in_sorted_lines():
+    rng = np.random.default_rng(3)
+    a, b = np.round(rng.standard_normal((40, 9)), 1), np.round(rng.standard_normal((70, 9)), 1)
+    order = np.argsort(b, axis=0)
+    got = embedding_dedup.collisions(a, order, np.take_along_axis(b, order, axis=0), 0.25)
+    assert (got == (np.abs(a[:, None] - b[None]) <= 0.25).sum(axis=2)).all() and got.max() > 4
+
+
 # -- 5: packing -------------------------------------------------------------------------------------------------
 
 
