@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import time
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -567,25 +568,58 @@ def test_ngram_join_on_the_table(spark):
 # -- 10: decontamination ----------------------------------------------------------------------------------------
 
 
+def plain_shares(items):
+    """BM25 shares {item: {word: share}}, written from the formula alone."""
+    words = {i: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) for i, t in items}
+    words = {i: w for i, w in words.items() if w}
+    df, mean = Counter(x for w in words.values() for x in set(w)), sum(map(len, words.values())) / len(words)
+    out = {}
+    for i, w in words.items():
+        part = {x: math.log(1 + (len(words) - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, f in Counter(w).items()}
+        out[i] = {x: v / sum(part.values()) for x, v in part.items()}
+    return words, out
+
+
 def plain_leaks(docs, items, threshold=0.5, least=0.8):
-    """All passages against all items, no bounds."""
-    index = decontaminate.Bm25Index(*zip(*[(i, t, None) for i, t in items if decontaminate.split(t)], strict=True))
-    step, out = max(64, index.longest), set()
-    dense = np.zeros((len(index.terms) + 1, len(index.ids)))
-    for t in range(len(index.terms)):
-        for k in range(int(index.start[t]), int(index.start[t] + index.size[t])):
-            dense[t, index.item[k]] = index.share[k]
+    """All passages against all items, without index, bounds or code of the operator."""
+    words, shares = plain_shares([(i, t) for i, t in items if i is not None and t])
+    step, out = max(64, *map(len, words.values())), set()
+    known = {x for w in words.values() for x in w}
     for d, text in docs:
-        ids = index.number(decontaminate.split(text))
-        for s in range(0, max(1, len(ids)), step):
-            part = np.unique(ids[s : s + 2 * step])
-            for item in np.flatnonzero(dense[part].sum(axis=0) >= threshold - 1e-9):
-                q, a, both = index.overlap(int(item), ids[max(0, s - step) : s + 3 * step])
-                if q >= least and a >= 0.5 or both >= least:
-                    out.add((d, index.ids[item]))
+        own = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower())
+        for s in range(0, max(1, len(own)), step):
+            there = known.intersection(own[s : s + 2 * step])
+            if not there:
+                continue
+            wide = own[max(0, s - step) : s + 3 * step]
+            for i, share in shares.items():
+                if (d, i) in out or sum(v for x, v in share.items() if x in there) < threshold - 1e-9:
+                    continue
+                w, k = words[i], min(5, len(words[i]))
+                runs = {tuple(wide[j : j + k]) for j in range(len(wide) - k + 1)}
+                hit = [any(tuple(w[j : j + k]) in runs for j in range(max(0, n - k + 1), min(n, len(w) - k) + 1)) for n in range(len(w))]
+                tail = max(1, math.ceil(len(w) * 0.2)) if len(w) > 1 else 0
+                q, a = hit[: len(w) - tail], hit[len(w) - tail :]
+                if (not q or sum(q) >= least * len(q)) and (not a or sum(a) >= 0.5 * len(a)) or sum(hit) >= least * len(hit):
+                    out.add((d, i))
     return out
 
 
+def test_pivots_find_every_item_above_the_threshold():
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(120)]
+    p = 1 / np.arange(1, 121)
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 25), p=p / p.sum()))) for i in range(150)]
+    _, shares = plain_shares(items)
+    for block in (1, 4, 32):
+        index = decontaminate.Bm25Index(*zip(*[(i, t, None) for i, t in items], strict=True), block=block)
+        for _ in range(40):
+            passage = list(rng.choice([*vocabulary, "unseen"], rng.integers(0, 60)))
+            want = {i: v for i, s in shares.items() if (v := sum(x for w, x in s.items() if w in passage)) >= 0.5}
+            got = dict(index.retrieve(index.number([w.encode() for w in passage]), 0.5))
+            assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_decontamination(spark):
     items = [(r.item_id, r.text) for r in read(spark, "benchmark").collect()]
     docs = [(r.doc_id, r.text) for r in read(spark, "documents").collect()]

@@ -3,13 +3,16 @@
 The index is built over the items; the queries are the passages of every training document: windows of words,
 each half over the last, long enough that some window holds any whole item. Scores are BM25 over the passage's
 distinct words, as a share of the score an item gives itself. Items lie in blocks of ``block``; every term keeps
-its largest share in the whole list and in each block. A passage is skipped when the list maxima of its words
-cannot reach the threshold, a block when its own maxima cannot; the rest is scored in full, so exactly the items
-above the threshold come back. Each is verified by the words of question and answer that lie in common runs.
+its largest share in the whole list and in each block it occurs in. A passage is skipped when the list maxima of
+its words cannot reach the threshold, a block when the maxima of its words there cannot. In the blocks left, one
+cursor a word goes through the items: sorted by their next item, the cursors whose maxima first reach the
+threshold together name the pivot; items before it are skipped, it alone is scored. So exactly the items above
+the threshold come back. Each is verified by the words of question and answer that lie in common runs.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -53,7 +56,7 @@ class Statistics:
 class Bm25Index:
     """Shares by (term, item); term number ``len(terms)`` stands for every word outside the index."""
 
-    def __init__(self, ids: list, questions: list, answers: list, answer_share: float = 0.2, block: int = 32, k1: float = 1.2, b: float = 0.75, statistics: Statistics | None = None):
+    def __init__(self, ids: list, questions: list, answers: list, answer_share: float = 0.2, block: int = 4, k1: float = 1.2, b: float = 0.75, statistics: Statistics | None = None):
         self.ids, self.block = ids, block
         words, self.question_words = [], []
         for q, a in zip(questions, answers, strict=True):
@@ -66,21 +69,27 @@ class Bm25Index:
         self.longest = known.longest
         n, t = len(words), len(self.terms)
         df, total, mean = [known.df[x] for x in self.terms], known.n, known.words / max(1, known.n)
-        self.blocks = -(-n // block) if n else 0
+        self.blocks = max(1, -(-n // block))
         postings: list = [[] for _ in range(t)]
-        self.block_max = np.zeros((t + 1, max(1, self.blocks)), np.float32)
         for i, w in enumerate(self.items):
             part = {x: math.log(1 + (total - df[x] + 0.5) / (df[x] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(w) / mean)) for x, f in Counter(w.tolist()).items()}
             whole = sum(part.values()) or 1.0
             for x, v in part.items():
                 postings[x].append((i, v / whole))
-                self.block_max[x, i // block] = max(self.block_max[x, i // block], v / whole * (1 + 1e-6))
-        self.list_max = self.block_max.max(axis=1)
         # posting lists one after the other, each in the order of items and so of blocks
         self.size = np.array([len(x) for x in postings], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.item = np.array([i for x in postings for i, _ in x], np.int64)
         self.share = np.array([v for x in postings for _, v in x], np.float64)
+        # runs of postings of one term in one block, with their largest share; no entry where a term has none
+        term = np.repeat(np.arange(t), self.size)
+        self.run_start = np.flatnonzero(np.diff(term * self.blocks + self.item // block, prepend=-1))
+        self.run_stop = np.append(self.run_start[1:], len(term))
+        self.run_block = self.item[self.run_start] // block
+        self.run_max = np.maximum.reduceat(self.share, self.run_start) * (1 + 1e-6) if len(term) else np.empty(0)
+        self.runs = np.searchsorted(term[self.run_start], np.arange(t + 1))
+        self.list_max = np.zeros(t + 1, np.float32)
+        np.maximum.at(self.list_max, term, (self.share * (1 + 1e-6)).astype(np.float32))
 
     def number(self, words: list[bytes]) -> np.ndarray:
         get, other = self.terms.get, len(self.terms)
@@ -91,15 +100,40 @@ class Bm25Index:
         terms = np.unique(passage[passage < len(self.terms)])
         if self.list_max[terms].sum() < threshold:
             return []
-        alive = self.block_max[terms].sum(axis=0) >= threshold
-        if not alive.any():
-            return []
-        n = self.size[terms]
-        at = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        if not alive.all():
-            at = at[alive[self.item[at] // self.block]]
-        scores = np.bincount(self.item[at], self.share[at], len(self.ids))
-        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold)]
+        first = self.runs[terms]
+        n = self.runs[terms + 1] - first
+        runs = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        blocks = self.run_block[runs]
+        bound = np.bincount(blocks, self.run_max[runs], self.blocks)
+        return [found for blk in np.flatnonzero(bound >= threshold) for found in self._pivots(runs[blocks == blk], threshold)]
+
+    def _pivots(self, runs: np.ndarray, threshold: float):
+        """(item, share) of the items of one block that reach the threshold; runs: those of the passage's words there."""
+        order = np.argsort(-self.run_max[runs], kind="stable")
+        at, stop, most = self.run_start[runs[order]].tolist(), self.run_stop[runs[order]].tolist(), self.run_max[runs[order]].tolist()
+        item, share = self.item, self.share
+        cursors = [(int(item[a]), k) for k, a in enumerate(at)]
+        heapq.heapify(cursors)
+        while cursors:
+            passed, reach = [], 0.0
+            while cursors and (reach < threshold or cursors[0][0] == passed[-1][0]):
+                passed.append(heapq.heappop(cursors))
+                reach += most[passed[-1][1]]
+            if reach < threshold:
+                return
+            pivot, score = passed[-1][0], 0.0
+            for i, k in passed:
+                while i < pivot:
+                    at[k] += 1
+                    i = int(item[at[k]]) if at[k] < stop[k] else len(self.ids)
+                if i == pivot:
+                    score += float(share[at[k]])
+                    at[k] += 1
+                    i = int(item[at[k]]) if at[k] < stop[k] else len(self.ids)
+                if i < len(self.ids):
+                    heapq.heappush(cursors, (i, k))
+            if score >= threshold:
+                yield pivot, score
 
     def overlap(self, item: int, words: np.ndarray, run: int = 5) -> tuple[float, float, float]:
         """Shares of the question's, the answer's and all words that lie in runs common with ``words``."""
