@@ -167,12 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0,
     Rows without id or text are left out; without both labels every score is the same."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     y = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where("y is not null").groupBy(id_col).agg(F.max("y").alias("y"))
-    rows = docs.select(id_col, *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang"))).where((fold != held_fold) & F.col("text").isNotNull())
-    known, other = rows.join(y, id_col, "left").where("y is not null"), rows.join(y, id_col, "left_anti").withColumn("y", F.lit(None).cast("int"))
-    got = pa.concat_tables([sampled(known, id_col, max_labelled, max_bytes), sampled(other, id_col, max_unlabelled, max_bytes)]).sort_by([(id_col, "ascending"), ("text", "ascending")])
+    rows = docs.select(id_col, *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang"))).where((fold != held_fold) & F.col(id_col).isNotNull() & F.col("text").isNotNull())
+    known = sampled(rows, id_col, max_labelled, max_bytes, only=lambda ids: ids.join(y.select(id_col), id_col, "left_semi"))
+    other = sampled(rows, id_col, max_unlabelled, max_bytes, only=lambda ids: ids.join(y.select(id_col), id_col, "left_anti"))
+    chosen = docs.sparkSession.createDataFrame(known.select([id_col]), schema=rows.select(id_col).schema).distinct()  # max_labelled ids
+    value = dict(zip(*(c.to_pylist() for c in y.join(F.broadcast(chosen), id_col).select(id_col, "y").toArrow().columns), strict=True))
+    label = pa.array([value[i] for i in known[id_col].to_pylist()] + [-1] * len(other), pa.int64())
+    got = pa.concat_tables([known, other]).append_column("y", label).sort_by([(id_col, "ascending"), ("text", "ascending")])
     texts = got["text"].to_pylist()
     meta = np.array([layout(*x) for x in zip(texts, got["source"].to_pylist(), got["lang"].to_pylist(), strict=True)], np.float32).reshape(len(texts), 8 + HASHED)
-    return cotrain(texts, meta, np.array([-1 if v is None else v for v in got["y"].to_pylist()]))
+    return cotrain(texts, meta, got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id") -> DataFrame:

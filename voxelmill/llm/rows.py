@@ -61,17 +61,18 @@ def _sides(docs: DataFrame, ids: DataFrame, id_col: str, bits: int) -> tuple[Dat
     return side(False), side(True)
 
 
-def sampled(rows: DataFrame, id_col: str, max_rows: int, max_bytes: int, text_col: str = "text") -> pa.Table:
+def sampled(rows: DataFrame, id_col: str, max_rows: int, max_bytes: int, text_col: str = "text", only: Callable[[DataFrame], DataFrame] | None = None) -> pa.Table:
     """On the driver: the rows that come first by a hash of their id, at most ``max_rows`` and, but for the first, at most
-    ``max_bytes`` of text together; whole texts, repeated rows once. Only ids, hashes and sizes are sorted."""
+    ``max_bytes`` of text together; whole texts, repeated rows once. Only ids, hashes and sizes are sorted, and only they
+    meet what ``only`` joins them with."""
     spark = rows.sparkSession
-    rows = rows.withColumn("__hash", F.xxhash64(text_col))
-    each = rows.groupBy(id_col, "__hash").agg(F.max(F.octet_length(text_col)).alias("__bytes"))
+    slim = rows.select(id_col, F.xxhash64(text_col).alias("__hash"), F.octet_length(text_col).alias("__bytes"))
+    each = (only(slim) if only else slim).groupBy(id_col, "__hash").agg(F.max("__bytes").alias("__bytes"))
     first = each.orderBy(F.xxhash64(id_col), id_col, "__hash").limit(max_rows).toArrow()
     size = np.cumsum(first["__bytes"].to_numpy())
     first = first.slice(0, max(1, int(np.searchsorted(size, max_bytes, "right")))).drop_columns(["__bytes"])
     if not first.num_rows:
-        return rows.drop("__hash").limit(0).toArrow()
+        return rows.limit(0).toArrow()
     chosen = spark.createDataFrame(first, schema=each.drop("__bytes").schema)  # max_rows rows of 16 bytes
-    got = rows.join(F.broadcast(chosen), [id_col, "__hash"]).dropDuplicates([id_col, "__hash"])
+    got = rows.withColumn("__hash", F.xxhash64(text_col)).join(F.broadcast(chosen), [id_col, "__hash"]).dropDuplicates([id_col, "__hash"])
     return got.drop("__hash").toArrow().sort_by([(id_col, "ascending"), (text_col, "ascending")])
