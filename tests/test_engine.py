@@ -6,11 +6,13 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voxelmill import catalog
 from voxelmill.functions import codec, meshes, udfs
 from voxelmill.functions import geometry as g
+from voxelmill.functions.tokens import tokens
 from voxelmill.operators import join as J
 from voxelmill.operators import nn as N
 from voxelmill.operators import partition as P
@@ -140,7 +142,10 @@ def test_verbs(spark, tmp_path):
     assert e.compress(*paths).count() == 350
     assert [r.reason for r in e.quarantine(*paths).collect()] == ["not closed"]
     assert e.partition("fg_3d", bucket=50).count() == 8 and e.partition("ot_3d", bucket=200).count() >= 8
+    assert e.counters["_mbb"] == {"read": 351, "kept": 350, "bad": 1, "rows": 350}
     assert e.tile_statistics().first()["tiles"] >= 8
+    e.partition("ot_3d", bucket=20, sampling=0.5)
+    assert 0 < e.counters["_partidx"]["sampled"] < 350 == e.counters["_partidx"]["read"]
     # 12-bit cells move corners by less than a hundredth: pairs that barely touch may part
     assert abs(e.join("st_intersects").count() - 10) <= 1
     assert e.join("st_nn_rtree").count() == 200 and e.join("st_nn_voronoi").count() == 200 and e.join("st_nearest2", k=2).count() == 400
@@ -150,6 +155,45 @@ def test_verbs(spark, tmp_path):
     assert len(PREDICATES) == 14
 
 
+def test_joins_over_tiles(spark):
+    a, b = (catalog.boxes(spark, SF, n) for n in (1, 2))
+    pairs = lambda df: sorted((r.id1, r.id2) for r in df.collect())
+    want = pairs(J.candidates(a, b, expand=30.0))
+    tables = [P.octree_tiles(a.where("low_x < 300"), 5, max_level=3), catalog._grid(spark, SF).tiles(spark), P.Grid([200.0] * 3, [210.0] * 3, (4, 4, 4)).tiles(spark)]
+    for tiles in (*tables, tables[0].limit(0)):
+        assert pairs(J.tile_candidates(a, b, tiles, expand=30.0)) == want and len(want) > 10
+
+
+def test_only_objects_in_pairs_are_decoded(spark):
+    late = lambda n: catalog.solids(spark, SF, n).withColumn("blob", udfs.encode("mesh")).drop("mesh").withColumn("lod", F.lit(100.0))
+    got = J.spatial_join(late(1), late(2), "st_intersects")
+    assert abs(got.count() - 10) <= 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("decode(") < plan.index("LeftSemi")
+
+
+def test_tile_text_and_triangles(spark, tmp_path):
+    tiles = catalog._grid(spark, SF).tiles(spark)
+    off.write_tiles(tiles, str(tmp_path / "tiles"))
+    (tmp_path / "tiles" / "part-x.txt").write_text("few 1 2\n9 a 0 0 1 1 1\n")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(off.read_tiles(spark, str(tmp_path / "tiles"))) == key(tiles)
+    udfs.register(spark)
+    catalog.solids(spark, SF, 1).createOrReplaceTempView("solids")
+    rows = spark.sql("select object_id, count(*) as n, max(number) as last, max(t.high_x) - max(s.high_x) as d from solids s, lateral st3d_each_triangle(s.mesh) t group by object_id")
+    assert {(r.n, r.last, r.d) for r in rows.collect()} == {(12, 11, 0.0)} and rows.count() == 200
+
+
+def test_tokens(spark):
+    cases = {"a b": ["a", "b"], "a  b ": ["a", "", "b", ""], "": [], " ": ["", ""], "'x y' z": ["x y", "z"], 'p"q;r"s,\'open "t ': ["pq;rs", 'open "t '], "''": [], "x,''": ["x"], "x,'',": ["x", "", ""], None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    for keep in (True, False):
+        got = {r.t: r.x for r in rows.select("t", tokens("t", keep_blank=keep).alias("x")).collect()}
+        want = {k: v if v is None or keep else [x for x in v if x] for k, v in cases.items()}
+        assert got == want
+    assert rows.select(tokens("t", "|", quotes="").alias("x")).where("t = 'a b'").first().x == ["a b"]
+
+
 def test_streams(spark, tmp_path):
     rows = catalog.boxes(spark, SF, 1)
     rows.write.parquet(str(tmp_path / "in"))

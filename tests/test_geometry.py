@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voxelmill.functions import codec, meshes
+from voxelmill.functions import codec, frames, meshes
 from voxelmill.functions import geometry as g
 from voxelmill.functions.skeleton import skeleton
 
@@ -152,3 +152,31 @@ def test_skeleton_follows_a_long_box():
     faces = [[4 * i + a, 4 * i + (a + 1) % 4, 4 * (i + 1) + (a + 1) % 4, 4 * (i + 1) + a] for i in range(20) for a in range(4)] + [[0, 1, 2, 3], [83, 82, 81, 80]]
     s = skeleton(v, faces)
     assert 4 <= len(s) <= 8 and (np.abs(s[:, 1:] - 0.5) < 0.3).all() and np.ptp(s[:, 0]) > 10
+
+
+def test_skeleton_follows_branches():
+    """A T of unit cells: points near its three ends, all inside or close to it; the same for two parts at once."""
+    cells = {(x, 0, 0) for x in range(31)} | {(15, y, 0) for y in range(1, 16)}
+    cells |= {(x, 0, 9) for x in range(31)}
+    number, faces = {}, []
+    for c in sorted(cells):
+        for k in range(3):
+            for side in (0, 1):
+                if tuple(v + (2 * side - 1) * (i == k) for i, v in enumerate(c)) in cells:
+                    continue
+                ring = [[0, 0, 0] for _ in range(4)]
+                for corner, (u, w) in zip(ring, ((0, 0), (1, 0), (1, 1), (0, 1)), strict=True):
+                    corner[k], corner[(k + 1) % 3], corner[(k + 2) % 3] = side, u, w
+                faces.append([number.setdefault(tuple(np.add(c, p).tolist()), len(number)) for p in ring])
+    s = skeleton(np.array(list(number), float), faces)
+    gap = lambda points, to: np.sqrt(((points[:, None] - to[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert (gap(s, np.array(sorted(cells)) + 0.5) < 1.5).all() and len(s) > 20
+    assert (gap(np.array([[0, 0, 0], [30, 0, 0], [15, 15, 0], [0, 0, 9], [30, 0, 9]]) + 0.5, s) < 2.5).all()
+
+
+def test_frames_of_bent_and_empty_faces():
+    v = np.array([[0, 0, 0], [4, 0, 0], [4, 4, 0], [1, 1, 0], [9, 9, 9]], float)  # a dart: non-convex
+    normal, middle = frames.polygon_frames(v, [[0, 1, 2, 3], [0, 2, 1], [0, 0, 1]])
+    assert normal.tolist() == [[0, 0, 1], [0, 0, -1], [0, 0, 0]] and middle[0].tolist() == [2.25, 1.25, 0]
+    assert frames.vertex_normals(v, [[0, 1, 2, 3]])[4].tolist() == [0, 0, 0] and frames.vertex_normals(v, []).shape == (5, 3)
+    assert len(frames.polygon_frames(v, [])[0]) == 0

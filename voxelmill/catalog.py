@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import udfs
+from .functions.tokens import tokens
 from .operators import join as J
 from .operators import nn as N
 from .operators import partition as P
@@ -147,6 +148,43 @@ def sample_hash(spark, sf_dir):
     return P.sample(boxes(spark, sf_dir, 1), 0.1, "object_id").select("object_id")
 
 
+#: The faces of a cube as squares, in the order low z, high z, low y, high y, low x, high x; outward.
+_SQUARES = [[0, 2, 3, 1], [4, 5, 7, 6], [0, 1, 5, 4], [2, 6, 7, 3], [0, 4, 6, 2], [1, 3, 7, 5]]
+
+
+def _squares(spark, sf_dir):
+    faces = F.array(*(F.array(*map(F.lit, f)) for f in _SQUARES))
+    return solids(spark, sf_dir, 1).withColumn("mesh", F.struct("mesh.vertices", faces.alias("faces")))
+
+
+def polygon_frames(spark, sf_dir):
+    """Normals and barycentres of the square faces of cubes."""
+    rows = _squares(spark, sf_dir).select("object_id", F.posexplode(udfs.polygon_frames("mesh")).alias("face", "f"))
+    return rows.select("object_id", "face", *((F.round(f"f.{p}.{x}", 6) + F.lit(0.0)).alias(f"{p[0]}{x}") for p in ("normal", "barycenter") for x in "xyz"))
+
+
+def vertex_normals(spark, sf_dir):
+    rows = _squares(spark, sf_dir).select("object_id", F.posexplode(udfs.vertex_normals("mesh")).alias("vertex", "n"))
+    return rows.select("object_id", "vertex", *(F.round(f"n.{x}", 6).alias(x) for x in "xyz"))
+
+
+def mesh_triangles(spark, sf_dir):
+    """Triangles of each mesh with their boxes, summed up."""
+    rows = solids(spark, sf_dir, 1).select("object_id", F.inline(udfs.triangles("mesh")))
+    return rows.groupBy("object_id").agg(F.count("*").alias("triangles"), *(F.min(c).alias(c) for c in LOW), *(F.max(c).alias(c) for c in HIGH), F.sum(F.expr("high_x - low_x")).alias("spans"))
+
+
+def mbb_diagonal(spark, sf_dir):
+    return T.diagonals(_both(spark, sf_dir)).select("object_id", "dataset_id", F.round("diagonal", 6).alias("diagonal"))
+
+
+def split_quoted(spark, sf_dir):
+    """Fields of a text with quotes, blanks and an open quote at its end."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.lit("'"), "p_type", F.lit("' "), F.col("p_partkey").cast("string"), F.lit(";;x\"a, b\"c,\"it's "), "p_brand")
+    return rows.select(F.col("p_partkey").alias("object_id"), F.posexplode(tokens(text, keep_blank=True)).alias("pos", "token"))
+
+
 def split_tokens(spark, sf_dir):
     """Tokens of an OFF line and the sum of those that are numbers."""
     rows = off_lines(spark, sf_dir, 1).select("object_id", F.explode(F.split("line", "[| ]")).alias("t")).where("t <> ''")
@@ -202,6 +240,17 @@ def normalized_boxes(spark, sf_dir):
 # -- joins ------------------------------------------------------------------------------------------------------
 
 
+def tiled_join(spark, sf_dir):
+    """Boxes that meet, over the tiles of an octree of a tenth of them."""
+    rows = _both(spark, sf_dir)
+    tiles = P.octree_tiles(P.sample(rows, 0.1, "object_id"), bucket=20, max_level=4)
+    return J.tile_candidates(boxes(spark, sf_dir, 1), boxes(spark, sf_dir, 2), tiles).select("id1", "id2")
+
+
+def tiled_dwithin(spark, sf_dir):
+    return J.spatial_join(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2), "st_dwithin", distance=10.0, tiles=_grid(spark, sf_dir).tiles(spark))
+
+
 def _join(name: str, make=None, **options):
     def run(spark, sf_dir):
         own = make or solids
@@ -294,7 +343,8 @@ def nn_sites(spark, sf_dir):
 
 
 def nn_voronoi(spark, sf_dir):
-    return N.nn_voronoi(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2))
+    """By skeleton; that of a cube of twelve triangles is its centre."""
+    return N.nn_voronoi(solids(spark, sf_dir, 1), solids(spark, sf_dir, 2)).withColumn("distance", F.round("distance", 6))
 
 
 # -- codec ------------------------------------------------------------------------------------------------------
@@ -321,6 +371,7 @@ QUERIES = {f.__name__: f for f in (
     union_tagged, space_extent, bucket_size, prefix_offsets, sample_hash, split_tokens, grid_tiles, tile_assign, tile_assign_table, tile_stats, pairs_per_tile,
     octree_tiles, octree_assign, nested_tiles, normalized_boxes, mbb_join, st_intersects_volumes, st_disjoint, st_equals, dedup_pairs, nn_surface, nn_candidates_k2,
     disjoint_counts, turned_volumes, turned_equals, turned_nearest, nn_tile_candidates, knn_boxes, st_nearest, st_nearest2, nn_sites, nn_voronoi, quantize_12bit, codec_roundtrip, lod_vertex_counts,
+    polygon_frames, vertex_normals, mesh_triangles, mbb_diagonal, split_quoted, tiled_join, tiled_dwithin,
 )} | {n: _join(n) for n in ("st_intersects", "st_touches", "st_crosses", "st_contains", "st_within", "st_adjacent", "st_overlaps")} | {
     f"turned_{n[3:]}": _join(n, turned) for n in ("st_intersects", "st_touches", "st_contains", "st_within", "st_adjacent", "st_overlaps")
 } | {
@@ -440,6 +491,14 @@ ORACLES = {k: _sql(v) for k, v in {
     "st_nearest": f", d AS (SELECT a.object_id AS id1, b.object_id AS id2, {_gap('a', 'b')} AS g FROM b1 a, b2 b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY g, id2) AS INTEGER) AS rank FROM d WHERE g <= 30) SELECT id1, id2, rank, round(g, 6) AS distance FROM r WHERE rank <= 2",
     "st_nearest2": f", d AS (SELECT a.object_id AS id1, b.object_id AS id2, {_gap('a', 'b')} AS g FROM b1 a, b2 b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY g, id2) AS INTEGER) AS rank FROM d) SELECT id1, id2, rank, round(g, 6) AS distance FROM r WHERE rank <= 2",
     "nn_sites": f", p AS (SELECT object_id AS id1, {_mids} FROM b1), q AS (SELECT object_id AS id2, " + ", ".join(f"(low_{x} + high_{x}) / 2 AS s{x}" for x in "xyz") + " FROM b2), r AS (SELECT id1, id2, sqrt(" + " + ".join(f"pow(c{x} - s{x}, 2)" for x in "xyz") + ") AS g FROM p, q) SELECT id1, arg_min(id2, g * 1000000 + id2 / 1000000) AS id2, round(min(g), 6) AS distance FROM r GROUP BY id1",
+    "nn_voronoi": f", p AS (SELECT object_id AS id1, {_mids} FROM b1), q AS (SELECT object_id AS id2, " + ", ".join(f"(low_{x} + high_{x}) / 2 AS s{x}" for x in "xyz") + " FROM b2), r AS (SELECT p.*, id2, sqrt(" + " + ".join(f"pow(c{x} - s{x}, 2)" for x in "xyz") + ") AS g FROM p, q) SELECT id1, cx, cy, cz, arg_min(id2, (g, id2)) AS id2, round(min(g), 6) AS distance FROM r GROUP BY id1, cx, cy, cz",
+    "polygon_frames": ", f AS (SELECT * FROM (VALUES (0, 0, 0, -1), (1, 0, 0, 1), (2, 0, -1, 0), (3, 0, 1, 0), (4, -1, 0, 0), (5, 1, 0, 0)) AS v(face, i, j, k)) SELECT object_id, face, " + ", ".join(f"CAST({n} AS DOUBLE) AS n{x}, (low_{x} + high_{x} + {n} * edge) / 2 AS b{x}" for x, n in zip("xyz", "ijk", strict=True)) + " FROM b1, f",
+    "vertex_normals": "SELECT object_id, CAST(v AS INTEGER) AS vertex, " + ", ".join(f"CASE WHEN (v >> {k}) & 1 = 1 THEN 0.57735 ELSE -0.57735 END::DOUBLE AS {x}" for k, x in enumerate("xyz")) + " FROM b1, range(8) AS r(v)",
+    "mesh_triangles": f"SELECT object_id, CAST(12 AS BIGINT) AS triangles, {_corners}, 8 * edge AS spans FROM b1",
+    "mbb_diagonal": "SELECT object_id, dataset_id, round(sqrt(3 * edge * edge), 6) AS diagonal FROM bb",
+    "split_quoted": ", v AS (SELECT p_partkey AS object_id, [p_type, CAST(p_partkey AS VARCHAR), '', 'xa, bc', 'it''s ' || p_brand] AS f FROM part) SELECT object_id, CAST(i AS INTEGER) AS pos, f[i + 1] AS token FROM v, range(5) AS r(i)",
+    "tiled_join": _pair + _meet("a", "b"),
+    "tiled_dwithin": _pair + _gap("a", "b") + " <= 10",
     "quantize_12bit": f"SELECT object_id, {_quant} FROM b1",
     "codec_roundtrip": f"SELECT object_id, CAST(8 AS BIGINT) AS vertices, CAST(12 AS BIGINT) AS faces, {_quant} FROM b1",
 }.items()}

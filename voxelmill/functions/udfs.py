@@ -6,21 +6,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql.functions import arrow_udf, udtf
 
 from ..schema import BOX, MBB, MESH, POINT
 from . import codec as c
+from . import frames as fr
 from . import geometry as g
 from . import meshes as m
 from .skeleton import skeleton as skeleton_of
 
 #: The kernels by name: a function that is sent to a worker must not name a function column of this module.
-K = {f.__name__: f for f in (g.mbb, g.volume, g.area, g.hull_volume, g.centroid, g.intersection_volume, m.parse_off, m.to_off, c.encode, c.decode, c.quantize)}
+K = {f.__name__: f for f in (g.mbb, g.volume, g.area, g.hull_volume, g.centroid, g.intersection_volume, fr.polygon_frames, fr.vertex_normals, m.parse_off, m.to_off, c.encode, c.decode, c.quantize)}
 _REAL, _TEXT, _BOOL, _BYTES = T.DoubleType(), T.StringType(), T.BooleanType(), T.BinaryType()
 _VALID = T.StructType([T.StructField("valid", _BOOL), T.StructField("reason", _TEXT)])
 _FRAME = T.ArrayType(T.StructType([T.StructField("normal", POINT), T.StructField("barycenter", POINT), T.StructField("area", _REAL)]))
 
 
+_POLYGON = T.ArrayType(T.StructType([T.StructField("normal", POINT), T.StructField("barycenter", POINT)]))
+_TRIANGLE = T.StructType([T.StructField(c, POINT) for c in "abc"] + [T.StructField(c, _REAL) for c in MBB])
+
+
 def _each(mesh: pa.Array, f, kind) -> pa.Array:
     return pa.array([None if t is None or not len(t) else f(t) for t in m.triangles_of(mesh)], kind)
 
@@ -84,6 +89,48 @@ def face_frames(mesh: pa.Array) -> pa.Array:
     return _each(mesh, one, pa.list_(pa.struct([("normal", m.POINT), ("barycenter", m.POINT), ("area", pa.float64())])))
 
 
+@arrow_udf(_POLYGON)
+def polygon_frames(mesh: pa.Array) -> pa.Array:
+    """Normal and barycentre of every face, of any degree."""
+    point = lambda p: dict(zip("xyz", p, strict=True))
+    kind = pa.list_(pa.struct([("normal", m.POINT), ("barycenter", m.POINT)]))
+    return pa.array([None if r is None else [{"normal": point(n), "barycenter": point(b)} for n, b in zip(*(x.tolist() for x in K["polygon_frames"](*r)), strict=True)] for r in m.raw_of(mesh)], kind)
+
+
+@arrow_udf(T.ArrayType(POINT))
+def vertex_normals(mesh: pa.Array) -> pa.Array:
+    """Normal of every vertex, in the order of the vertices."""
+    return pa.array([None if r is None else [dict(zip("xyz", p, strict=True)) for p in K["vertex_normals"](*r).tolist()] for r in m.raw_of(mesh)], pa.list_(m.POINT))
+
+
+@arrow_udf(T.ArrayType(_TRIANGLE))
+def triangles(mesh: pa.Array) -> pa.Array:
+    """Corners and box of every triangle; ``inline`` makes them rows."""
+    kind = pa.list_(pa.struct([(c, m.POINT) for c in "abc"] + [(c, pa.float64()) for c in MBB]))
+    point = lambda p: dict(zip("xyz", p, strict=True))
+
+    def one(t):
+        low, high = t.min(axis=1).tolist(), t.max(axis=1).tolist()
+        return [{**{c: point(p) for c, p in zip("abc", tri, strict=True)}, **dict(zip(MBB, lo + hi, strict=True))} for tri, lo, hi in zip(t.tolist(), low, high, strict=True)]
+
+    return pa.array([None if t is None else one(t) for t in m.triangles_of(mesh)], kind)
+
+
+@udtf(returnType=T.StructType([T.StructField("number", T.IntegerType()), *_TRIANGLE.fields]))
+class EachTriangle:
+    """A row a triangle of a mesh, faces fanned; none for a null mesh."""
+
+    def eval(self, mesh):
+        if mesh is None or mesh["vertices"] is None or mesh["faces"] is None:
+            return
+        corner, number = [(p["x"], p["y"], p["z"]) for p in mesh["vertices"]], 0
+        for face in mesh["faces"]:
+            for k in range(1, len(face) - 1):
+                tri = [corner[face[i]] for i in (0, k, k + 1)]
+                yield (number, *tri, *map(min, zip(*tri, strict=True)), *map(max, zip(*tri, strict=True)))
+                number += 1
+
+
 @arrow_udf(_VALID)
 def is_valid(mesh: pa.Array) -> pa.Array:
     why = ["unreadable" if r is None else g.why_invalid(len(r[0]), r[1]) for r in m.raw_of(mesh)]
@@ -181,9 +228,10 @@ def dwithin(a: pa.Array, b: pa.Array, distance: pa.Array) -> pa.Array:
 
 def register(spark: SparkSession) -> list[str]:
     """Name every function ``st3d_<name>`` in the session's SQL."""
-    own = {f"st3d_{n}": f for n, f in (("parse_off", parse_off), ("to_off", to_off), ("mbb", mbb), ("volume", volume), ("area", area), ("hull_volume", hull_volume), ("perimeter", perimeter), ("centroid", centroid), ("face_frames", face_frames), ("is_valid", is_valid), ("intersects", intersects), ("intersection_volume", intersection_volume), ("distance", distance), ("pack", pack), ("point_distance", point_distance), ("encode", encode), ("decode", decode), ("quantize", quantize), ("skeleton", skeleton))}
+    own = {f"st3d_{n}": f for n, f in (("parse_off", parse_off), ("to_off", to_off), ("mbb", mbb), ("volume", volume), ("area", area), ("hull_volume", hull_volume), ("perimeter", perimeter), ("centroid", centroid), ("face_frames", face_frames), ("is_valid", is_valid), ("intersects", intersects), ("intersection_volume", intersection_volume), ("distance", distance), ("pack", pack), ("point_distance", point_distance), ("encode", encode), ("decode", decode), ("quantize", quantize), ("skeleton", skeleton), ("polygon_frames", polygon_frames), ("vertex_normals", vertex_normals), ("triangles", triangles))}
     own |= {f"st3d_{n}": predicate(f"st_{n}", solid=n == "solid") for n in ("touches", "crosses", "contains", "adjacent", "disjoint", "equals", "within", "overlaps")}
     own["st3d_dwithin"] = dwithin
     for name, f in own.items():
         spark.udf.register(name, f)
-    return sorted(own)
+    spark.udtf.register("st3d_each_triangle", EachTriangle)
+    return sorted([*own, "st3d_each_triangle"])

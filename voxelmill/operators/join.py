@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..schema import HIGH, LOW, MBB
+from ..scratch import Scratch
 from .partition import Grid, grid_shape, space_extent
-from .tiling import assign_grid, overlap, reference_cell
+from .tiling import assign_grid, assign_tiles, overlap, reference_cell
 
 #: Condition on the boxes (prefixes a_, b_) that any pair must meet for a predicate.
 FILTER = {
@@ -47,29 +48,64 @@ def candidates(a: DataFrame, b: DataFrame, grid: Grid | None = None, expand: flo
     return pairs.where(F.col("cell") == reference_cell(grid, [F.greatest(f"a_{c}", f"b_{c}") for c in LOW]))
 
 
+def tile_candidates(a: DataFrame, b: DataFrame, tiles: DataFrame, expand: float = 0.0) -> DataFrame:
+    """As ``candidates``, over the tiles of a partitioner's table instead of a grid of its own.
+
+    The tiles must fill their extent without gaps or overlaps, as those of a grid or an octree do. Boxes beyond the
+    extent (of a sample, say) belong to the tiles at its border. A pair is reported by the tile of its reference point:
+    low edges belong to a tile, high edges only at the border. A table without tiles leaves it to ``candidates``."""
+    ext = space_extent(tiles).first()
+    if not ext["n"]:
+        return candidates(a, b, expand=expand)
+    if expand:
+        a = a.withColumns({c: F.col(c) - expand for c in LOW} | {c: F.col(c) + expand for c in HIGH})
+    inner = {c: F.least(F.greatest(F.col(c), F.lit(ext[f"low_{c[-1]}"])), F.lit(ext[f"high_{c[-1]}"])) for c in MBB}
+
+    def cut(side, n, p, corners):
+        rows = side.where(" and ".join(f"{c} is not null" for c in MBB)).select(F.col("object_id").alias(f"id{n}"), *(F.col(c).alias(f"{p}_{c}") for c in MBB), *(inner[c].alias(c) for c in MBB))
+        rows = assign_tiles(rows, tiles, corners=corners)
+        return rows.select(*(c for c in rows.columns if c not in HIGH and c not in LOW), *(F.col(c).alias(f"{p}in_{c}") for c in LOW))
+
+    pairs = cut(a, 1, "a", True).join(cut(b, 2, "b", False), "tile_id").where(overlap("a_", "b_"))
+    for lo, h in zip(LOW, HIGH, strict=True):
+        point = F.greatest(f"ain_{lo}", f"bin_{lo}")
+        pairs = pairs.where((point >= F.col(f"t_{lo}")) & ((point < F.col(f"t_{h}")) | (F.col(f"t_{h}") >= ext[h])))
+    return pairs.select("id1", "id2", *(f"{p}_{c}" for p in "ab" for c in MBB))
+
+
 def with_meshes(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """pairs(id1, id2, …) with mesh1 and mesh2 as bytes, fetched by id. The exact tests that follow cost far more than moving
     a pair, so pairs are dealt out once more: by both ids, which spreads objects with many pairs, and in a given number of
-    partitions, which adaptive execution does not merge by their bytes."""
+    partitions, which adaptive execution does not merge by their bytes.
+
+    A side has meshes in ``mesh``, or compressed ones in ``blob`` with a level of detail ``lod``; of the latter only those
+    with a pair are decoded, each once."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if any("mesh" not in side.columns for side in (a, b)):
+        pairs = Scratch(pairs.sparkSession).table(pairs, "pairs")
+    met = pairs
     for n, side in ((1, a), (2, b)):
-        own = side.where("mesh is not null").select(F.col("object_id").alias(f"id{n}"), udfs.pack("mesh").alias(f"mesh{n}"))
+        key = F.col("object_id").alias(f"id{n}")
+        if "mesh" in side.columns:
+            own = side.where("mesh is not null").select(key, udfs.pack("mesh").alias(f"mesh{n}"))
+        else:  # no test for null here: Catalyst would move it, and the decoding, before the semi-join
+            own = side.select(key, "blob", "lod").join(met.select(f"id{n}"), f"id{n}", "left_semi").select(f"id{n}", udfs.pack(udfs.decode("blob", "lod")).alias(f"mesh{n}"))
         pairs = pairs.join(own, f"id{n}")
     return pairs.repartition(4 * parts, "id1", "id2")
 
 
-def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", distance: float | None = None, solid: bool = False, grid: Grid | None = None, volumes: bool = False) -> DataFrame:
+def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", distance: float | None = None, solid: bool = False, grid: Grid | None = None, volumes: bool = False, tiles: DataFrame | None = None) -> DataFrame:
     """(id1, id2 [, vol1, vol2, vol_intersection]) of the pairs for which a predicate of two solids holds.
 
     ``st_intersects`` is about surfaces; with ``solid`` a solid inside another intersects it too. ``st_disjoint`` gives
-    the complement of all pairs (``disjoint_pairs``); ``disjoint_counts`` sums it up without making them.
-    Null or unreadable meshes match nothing.
+    the complement of all pairs (``disjoint_pairs``); ``disjoint_counts`` sums it up without making them. ``tiles``: a
+    partitioner's table to join over (``tile_candidates``). Null or unreadable meshes match nothing.
     """
     if predicate == "st_dwithin" and not (distance and distance > 0):
         raise ValueError("st_dwithin takes a distance above 0")
     if predicate == "st_disjoint":
         return disjoint_pairs(a, b, grid)
-    pairs = candidates(a, b, grid, distance or 0.0)
+    pairs = candidates(a, b, grid, distance or 0.0) if tiles is None else tile_candidates(a, b, tiles, distance or 0.0)
     if predicate in FILTER:
         pairs = pairs.where(FILTER[predicate])
     rows = with_meshes(pairs.select("id1", "id2"), a, b)
@@ -115,4 +151,4 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.dropDuplicates(["id1", "id2"])
 
 
-__all__ = ["candidates", "default_grid", "disjoint_counts", "distinct_pairs", "pairs_per_tile", "space_extent", "spatial_join", "with_meshes"]
+__all__ = ["candidates", "default_grid", "disjoint_counts", "distinct_pairs", "pairs_per_tile", "space_extent", "spatial_join", "tile_candidates", "with_meshes"]

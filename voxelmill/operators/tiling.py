@@ -45,19 +45,26 @@ def assign_grid(boxes: DataFrame, grid: Grid) -> DataFrame:
     return out.withColumn("cell", (F.col("_i") * ny + F.col("_j")) * nz + F.col("_k")).drop("_i", "_j", "_k")
 
 
-def assign_tiles(boxes: DataFrame, tiles: DataFrame, max_broadcast: int = 1000) -> DataFrame:
-    """A row per box and tile of any tile table that it touches. A table of at most ``max_broadcast`` tiles is
-    broadcast and compared in full; a larger one meets the boxes through a grid with about as many cells as tiles."""
+def diagonals(boxes: DataFrame) -> DataFrame:
+    """boxes with ``diagonal``, the length from corner to corner."""
+    return boxes.withColumn("diagonal", F.sqrt(F.expr(" + ".join(f"({h} - {lo}) * ({h} - {lo})" for lo, h in zip(LOW, HIGH, strict=True)))))
+
+
+def assign_tiles(boxes: DataFrame, tiles: DataFrame, max_broadcast: int = 1000, corners: bool = False) -> DataFrame:
+    """A row per box and tile of any tile table that it touches, with the tile's ``corners`` (``t_*``) on request. A table of
+    at most ``max_broadcast`` tiles is broadcast and compared in full; a larger one meets the boxes through a grid with
+    about as many cells as tiles."""
     t = tiles.select("tile_id", *(F.col(c).alias(f"t_{c}") for c in MBB))
     n = tiles.count()
+    away = () if corners else tuple(f"t_{c}" for c in MBB)
     if n <= max_broadcast:
-        return boxes.join(F.broadcast(t), F.expr(overlap("", "t_"))).drop(*(f"t_{c}" for c in MBB))
+        return boxes.join(F.broadcast(t), F.expr(overlap("", "t_"))).drop(*away)
     from .partition import space_extent
 
     grid = Grid.of(space_extent(tiles).first(), bucket=1, objects=n)
     both = assign_grid(boxes, grid).join(assign_grid(tiles, grid).select("cell", "tile_id", *(F.col(c).alias(f"t_{c}") for c in MBB)), "cell")
     ref = reference_cell(grid, [F.greatest(F.col(c), F.col(f"t_{c}")) for c in LOW])
-    return both.where(F.expr(overlap("", "t_")) & (F.col("cell") == ref)).drop("cell", *(f"t_{c}" for c in MBB))
+    return both.where(F.expr(overlap("", "t_")) & (F.col("cell") == ref)).drop("cell", *away)
 
 
 def reference_cell(grid: Grid, point: list[Column]) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udfs
@@ -11,20 +12,25 @@ from ..operators import nn as N
 from ..operators import partition as P
 from ..operators import tiling as T
 from ..schema import MBB, PREDICATES
+from ..scratch import Scratch
 from ..sources import off
 
 PARTITIONERS = ("fg_3d", "ot_3d")
 
 
 class SpatialEngine:
-    """Keeps results as Parquet under ``out`` with the suffixes _mbb, _partidx and _joinout."""
+    """Keeps results as Parquet under ``out`` with the suffixes _mbb, _partidx and _joinout. ``counters`` holds, by suffix, what
+    the last run counted on its way: rows written, and objects read, kept and bad or sampled."""
 
     def __init__(self, spark: SparkSession, out: str, overwrite: bool = True):
         self.spark, self.out, self.mode = spark, out, "overwrite" if overwrite else "errorifexists"
+        self.counters: dict[str, dict[str, int]] = {}
         udfs.register(spark)
 
-    def _keep(self, df: DataFrame, suffix: str) -> DataFrame:
-        df.write.mode(self.mode).parquet(self.out + suffix)
+    def _keep(self, df: DataFrame, suffix: str, seen: Observation | None = None) -> DataFrame:
+        own = Observation()
+        df.observe(own, F.count(F.lit(1)).alias("rows")).write.mode(self.mode).parquet(self.out + suffix)
+        self.counters[suffix] = self.counters.pop("_next", {}) | (seen.get if seen else {}) | own.get
         return self.spark.read.parquet(self.out + suffix)
 
     def compress(self, input_a: str, input_b: str | None) -> DataFrame:
@@ -33,8 +39,9 @@ class SpatialEngine:
         if not input_a or not input_b:
             raise ValueError("compress takes both inputs")
         rows = off.with_meshes(off.read_off_lines(self.spark, input_a, input_b))
-        good = rows.withColumn("v", udfs.is_valid("mesh")).where("v.valid")
-        return self._keep(good.select("object_id", "dataset_id", *MBB, udfs.encode("mesh").alias("blob")), "_mbb")
+        seen = Observation()
+        rows = rows.withColumn("v", udfs.is_valid("mesh")).observe(seen, F.count(F.lit(1)).alias("read"), F.count_if("v.valid").alias("kept"), F.count_if(~F.col("v.valid")).alias("bad"))
+        return self._keep(rows.where("v.valid").select("object_id", "dataset_id", *MBB, udfs.encode("mesh").alias("blob")), "_mbb", seen)
 
     def quarantine(self, *inputs: str) -> DataFrame:
         rows = off.with_meshes(off.read_off_lines(self.spark, *inputs)).withColumn("v", udfs.is_valid("mesh"))
@@ -54,17 +61,34 @@ class SpatialEngine:
         size = rows.agg(F.count("*").alias("n"), F.sum(F.length("blob")).alias("bytes")).first()
         own = bucket if bucket > 0 else P.bucket_size(size["bytes"] or 0, size["n"], sampling)
         if partitioner == "ot_3d":
-            tiles = P.octree_tiles(P.sample(rows, sampling), own).drop("n")
+            some = rows.select(*MBB)
+            if sampling < 1:  # kept, as every level reads it
+                seen = Observation()
+                some = Scratch(self.spark).table(P.sample(some, sampling).observe(seen, F.count(F.lit(1)).alias("sampled")), "sample")
+                self.counters["_next"] = seen.get | {"read": size["n"]}
+            tiles = P.octree_tiles(some, own).drop("n")
         else:
             ext = P.space_extent(rows).first()
             tiles = P.Grid.of(ext, own, objects=int(ext["n"] * sampling)).tiles(self.spark)
         return self._keep(tiles, "_partidx")
 
+    def tiles(self) -> DataFrame | None:
+        """The tile table of the last ``partition``, if there is one."""
+        try:
+            return self.spark.read.parquet(self.out + "_partidx")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
     def join(self, predicate: str, distance: float | None = None, k: int = 1, lod: float = 100, solid: bool = False, volumes: bool = False) -> DataFrame:
-        """Joins dataset 1 with dataset 2 under any predicate of ``PREDICATES``."""
+        """Joins dataset 1 with dataset 2 under any predicate of ``PREDICATES``. Predicates of pairs go over the tiles of
+        ``partition`` where it has run, and decode only objects whose boxes meet; nearest neighbours, which reach beyond
+        tiles, and ``st_disjoint`` use grids of their own."""
         if predicate not in PREDICATES:
             raise ValueError(f"unknown predicate {predicate}")
         rows = self.objects(lod)
+        late = rows.drop("mesh").withColumn("lod", F.lit(float(lod)))
         a, b = rows.where("dataset_id = 1"), rows.where("dataset_id = 2")
         if predicate == "st_nn_rtree":
             got = N.nn_surface(a, b)
@@ -72,8 +96,10 @@ class SpatialEngine:
             got = N.nn_voronoi(a, b)
         elif predicate in ("st_nearest", "st_nearest2"):
             got = N.st_nearest(a, b, k, distance if predicate == "st_nearest" else None)
+        elif predicate == "st_disjoint":
+            got = J.spatial_join(a, b, predicate)
         else:
-            got = J.spatial_join(a, b, predicate, distance, solid, volumes=volumes)
+            got = J.spatial_join(late.where("dataset_id = 1"), late.where("dataset_id = 2"), predicate, distance, solid, volumes=volumes, tiles=self.tiles())
         return self._keep(got, "_joinout")
 
     def duplicate_removal(self, pairs: DataFrame) -> DataFrame:

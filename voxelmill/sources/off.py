@@ -46,6 +46,19 @@ def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.expr(f"try_cast(f[{i}] as {kind})").alias(n) for i, (n, kind) in enumerate(names))).where(" and ".join(f"{c} is not null" for c in MBB))
 
 
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """Tile table of text, a tile a line: id and six corners with white space between. Other lines are left out. The extent of
+    a table, also of one line, is ``space_extent`` of it."""
+    f = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    rows = spark.read.text(path).select(f.alias("f")).where(F.size("f") == 7)
+    return rows.select(F.col("f")[0].alias("tile_id"), *(F.expr(f"try_cast(f[{k}] as double)").alias(c) for k, c in enumerate(MBB, 1))).where(" and ".join(f"{c} is not null" for c in MBB))
+
+
+def write_tiles(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Tile table as text that ``read_tiles`` reads."""
+    tiles.select(F.concat_ws("\t", "tile_id", *(F.col(c).cast("string") for c in MBB)).alias("value")).write.mode(mode).text(path)
+
+
 def write_boxes(boxes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Box rows as TAB-separated text; columns that are missing are written as empty fields."""
     names = [c.split() for c in BOX_SCHEMA.split(", ")]
