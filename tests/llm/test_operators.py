@@ -362,6 +362,8 @@ def test_url_verdicts(spark):
     assert url_filter.judge(df, rules=(), listed=()).where("verdict = 'block'").count() == 0
     table = spark.createDataFrame([(x,) for x in [*url_filter.LISTED, None, "unseen.example"]], "d string")
     assert {r.page_id: tuple(r)[1:] for r in url_filter.judge(df, listed=table).collect()} == got
+    for many in (url_filter.LISTED, table):  # beyond the filter's bound
+        assert {r.page_id: tuple(r)[1:] for r in url_filter.judge(df, listed=many, max_keys=1).collect()} == got
 
 
 def test_cascade_is_exact(spark):

@@ -26,6 +26,10 @@ LISTED = ("free-bets.example.com", "cheap-pills.example.com", "spam-farm.example
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class TooManyKeys(ValueError):
+    """A level has more keys than a broadcast filter may hold."""
+
+
 @dataclass
 class Level:
     data: bytes  # bit n is bit n % 8 of byte n // 8
@@ -57,7 +61,7 @@ def passes(key: Column, levels: list[Level]) -> Column:
 
 def build(keys: DataFrame, key: str = "key", listed: str = "listed", bits_per_key: int = 8, hashes: int = 5, max_levels: int = 40, max_keys: int = 20_000_000) -> list[Level]:
     """Levels for distinct ``keys`` and their boolean ``listed``. What reaches the driver is bits_per_key bits for each
-    listed key and a geometric tail of false positives; more than ``max_keys`` of them in a level is an error."""
+    listed key and a geometric tail of false positives; more than ``max_keys`` of them in a level raise ``TooManyKeys``."""
     scratch, levels = Scratch(keys.sparkSession), []
     rest = {True: keys.where(F.col(listed)).select(key), False: keys.where(~F.col(listed)).select(key)}
     for n in range(max_levels):
@@ -67,7 +71,7 @@ def build(keys: DataFrame, key: str = "key", listed: str = "listed", bits_per_ke
         if not count:
             return levels
         if count > max_keys:
-            raise ValueError(f"{count} keys in level {n}; a broadcast filter holds at most {max_keys}")
+            raise TooManyKeys(f"{count} keys in level {n}; a broadcast filter holds at most {max_keys}")
         data = np.zeros(max(8, -(-count * bits_per_key // 8)), np.uint8)
         bit = own.select(F.explode(F.array(*_bits(F.col(key), n, hashes, 8 * len(data)))).alias("bit"))
         ones = bit.groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("ones")).toArrow()
@@ -103,9 +107,12 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def judge(pages: DataFrame, rules=RULES, listed=LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, listed=LISTED, id_col: str = "page_id", url_col: str = "url", max_keys: int = 20_000_000) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
+    A level of the cascade holds at most ``max_keys`` keys, which bounds what is broadcast. Where one would hold more, hosts
+    of the corpus meet the list in a join instead, and rows the hosts that are blocked; the result is the same.
+
     ``listed``: domains as a sequence, or as a DataFrame of one column for lists that do not fit the driver. Null
     urls and urls without ``://`` have an empty host and path, fit no rule and are allowed. Other columns are
     ignored; repeated rows are kept; no rows give no rows. Empty lists block nothing.
@@ -122,7 +129,14 @@ def judge(pages: DataFrame, rules=RULES, listed=LISTED, id_col: str = "page_id",
         keys = keys.unionByName(names).distinct().select("key", F.col("key").isin(list(listed)).alias("listed"))
     else:
         keys = keys.select("key", F.lit(False).alias("listed"))
-    levels = build(Scratch(spark).table(keys, "universe"))
-    blocked = F.exists(suffixes(F.col("host")), lambda k: passes(k, levels))
+    universe = Scratch(spark).table(keys, "universe")
+    try:
+        levels = build(universe, max_keys=max_keys)
+        blocked = F.exists(suffixes(F.col("host")), lambda k: passes(k, levels))
+    except TooManyKeys:
+        own = rows.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+        bad = own.join(universe.where("listed"), "key", "left_semi").select("host").distinct().withColumn("bad", F.lit(True))
+        rows = rows.join(bad, "host", "left")  # one row a host on the right: adaptive execution splits a hot host's rows
+        blocked = F.coalesce("bad", F.lit(False))
     found = rule_of(F.col("host"), F.col("path"), rules)
     return rows.withColumn("found", found).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.when(F.col("found").isNotNull(), F.col("found.verdict")).otherwise(F.when(blocked, "block").otherwise("allow")).alias("verdict"))
