@@ -2,17 +2,24 @@
 
 Boxes are cut over grid cells by arithmetic and meet in an equi-join on the cell; the reference point of a pair
 (the larger low corner) decides the one cell that reports it, so there is nothing to deduplicate. Geometry stays
-out of that shuffle and is fetched by id for surviving pairs.
+out of that shuffle. Exact tests run where the meshes of both sides of a cell meet (``cells``); compressed meshes are fetched by
+id for surviving pairs. Joins of tables that grow with the input merge: Catalyst takes them for small, as it knows Parquet's
+bytes and not the rows that cells and columns make of them, and would broadcast them through the driver.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as types
 
+from ..functions import solids as S
 from ..functions import udfs
 from ..schema import HIGH, LOW, MBB
 from ..scratch import Scratch
+from . import cells
 from .partition import Grid, grid_shape, space_extent
 from .tiling import assign_grid, assign_tiles, overlap, reference_cell
 
@@ -44,7 +51,7 @@ def candidates(a: DataFrame, b: DataFrame, grid: Grid | None = None, expand: flo
     grid = grid or default_grid(a, b)
     left = assign_grid(a, grid).select("cell", F.col("object_id").alias("id1"), *(F.col(c).alias(f"a_{c}") for c in MBB))
     right = assign_grid(b, grid).select("cell", F.col("object_id").alias("id2"), *(F.col(c).alias(f"b_{c}") for c in MBB))
-    pairs = left.join(right, "cell").where(overlap("a_", "b_"))
+    pairs = left.hint("merge").join(right, "cell").where(overlap("a_", "b_"))
     return pairs.where(F.col("cell") == reference_cell(grid, [F.greatest(f"a_{c}", f"b_{c}") for c in LOW]))
 
 
@@ -66,7 +73,7 @@ def tile_candidates(a: DataFrame, b: DataFrame, tiles: DataFrame, expand: float
         rows = assign_tiles(rows, tiles, corners=corners)
         return rows.select(*(c for c in rows.columns if c not in HIGH and c not in LOW), *(F.col(c).alias(f"{p}in_{c}") for c in LOW))
 
-    pairs = cut(a, 1, "a", True).join(cut(b, 2, "b", False), "tile_id").where(overlap("a_", "b_"))
+    pairs = cut(a, 1, "a", True).hint("merge").join(cut(b, 2, "b", False), "tile_id").where(overlap("a_", "b_"))
     for lo, h in zip(LOW, HIGH, strict=True):
         point = F.greatest(f"ain_{lo}", f"bin_{lo}")
         pairs = pairs.where((point >= F.col(f"t_{lo}")) & ((point < F.col(f"t_{h}")) | (F.col(f"t_{h}") >= ext[h])))
@@ -89,8 +96,8 @@ def with_meshes(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
         if "mesh" in side.columns:
             own = side.where("mesh is not null").select(key, udfs.pack("mesh").alias(f"mesh{n}"))
         else:  # no test for null here: Catalyst would move it, and the decoding, before the semi-join
-            own = side.select(key, "blob", "lod").join(met.select(f"id{n}"), f"id{n}", "left_semi").select(f"id{n}", udfs.pack(udfs.decode("blob", "lod")).alias(f"mesh{n}"))
-        pairs = pairs.join(own, f"id{n}")
+            own = side.select(key, "blob", "lod").hint("merge").join(met.select(f"id{n}"), f"id{n}", "left_semi").select(f"id{n}", udfs.pack(udfs.decode("blob", "lod")).alias(f"mesh{n}"))
+        pairs = pairs.hint("merge").join(own, f"id{n}")
     return pairs.repartition(4 * parts, "id1", "id2")
 
 
@@ -105,6 +112,8 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", d
         raise ValueError("st_dwithin takes a distance above 0")
     if predicate == "st_disjoint":
         return disjoint_pairs(a, b, grid)
+    if all("mesh" in side.columns for side in (a, b)):
+        return solid_pairs(a, b, predicate, distance or 0.0, solid, grid, volumes, tiles)
     pairs = candidates(a, b, grid, distance or 0.0) if tiles is None else tile_candidates(a, b, tiles, distance or 0.0)
     if predicate in FILTER:
         pairs = pairs.where(FILTER[predicate])
@@ -116,6 +125,51 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", d
     return rows.select("id1", "id2")
 
 
+def _fits(predicate: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``FILTER`` on pairs of boxes."""
+    if predicate == "st_contains":
+        return (a[:, :3] <= b[:, :3]).all(axis=1) & (b[:, 3:] <= a[:, 3:]).all(axis=1)
+    if predicate == "st_within":
+        return (b[:, :3] <= a[:, :3]).all(axis=1) & (a[:, 3:] <= b[:, 3:]).all(axis=1)
+    return (np.abs(a - b) <= 1e-9 * (1 + np.abs(a))).all(axis=1)
+
+
+def solid_pairs(a: DataFrame, b: DataFrame, predicate: str, distance: float = 0.0, solid: bool = False, grid: Grid | None = None, volumes: bool = False, tiles: DataFrame | None = None) -> DataFrame:
+    """``spatial_join`` of sides with meshes, cell by cell."""
+    ext = None if tiles is None else space_extent(tiles).first()
+    left, right = cells.packed(a, "id1"), cells.packed(b, "id2")
+    if distance:
+        left = left.withColumns({c: F.col(c) - distance for c in LOW} | {c: F.col(c) + distance for c in HIGH})
+    if ext is None or not ext["n"]:
+        grid = grid or default_grid(left, right, 512)
+        left, right = cells.on_grid(left, grid), cells.on_grid(right, grid)
+    else:
+        left, right = cells.on_tiles(left, tiles, ext), cells.on_tiles(right, tiles, ext)
+    fields = [left.schema["id1"], right.schema["id2"]]
+    if volumes:
+        fields += [types.StructField(c, types.DoubleType()) for c in ("vol1", "vol2", "vol_intersection")]
+    filtered, step = predicate in FILTER, 1 << 18
+
+    def test(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if x.num_rows and y.num_rows:
+            boxes1, boxes2 = cells.matrix(x, MBB), cells.matrix(y, MBB)
+            one, two = S.Solids(x["mesh"]), S.Solids(y["mesh"])
+            for p, q in cells.own_pairs(x, y, boxes1, boxes2, one.usable, two.usable):
+                for at in range(0, len(p), step):
+                    i, j = p[at : at + step], q[at : at + step]
+                    if filtered:
+                        fit = _fits(predicate, boxes1[i], boxes2[j])
+                        i, j = i[fit], j[fit]
+                    hit = S.holds(predicate, one, two, i, j, distance, solid)
+                    i, j = i[hit], j[hit]
+                    out.append((i, j, *(S.volumes(one, two, i, j) if volumes else ())))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * (len(fields) - 2)
+        return pa.table({"id1": x["id1"].take(pa.array(columns[0])), "id2": y["id2"].take(pa.array(columns[1]))} | {f.name: pa.array(c) for f, c in zip(fields[2:], columns[2:], strict=True)})
+
+    return cells.cell_by_cell(left, right, test, types.StructType(fields))
+
+
 def disjoint_pairs(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> DataFrame:
     """(id1, id2) of all pairs with no point in common. The result is about as large as both counts multiplied: each
     object of a takes the whole id list of b in blocks of 1,024 without those that it meets."""
@@ -124,14 +178,14 @@ def disjoint_pairs(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> Data
     met = spatial_join(a, b, "st_intersects", solid=True, grid=grid).withColumn("block", block).groupBy("id1", "block").agg(F.collect_list("id2").alias("met"))
     lists = b.where("mesh is not null").select(F.col("object_id").alias("id2")).withColumn("block", block).groupBy("block").agg(F.collect_list("id2").alias("ids"))
     blocks = a.where("mesh is not null").select(F.col("object_id").alias("id1"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block"))
-    rows = blocks.join(lists, "block").join(met, ["id1", "block"], "left")
+    rows = blocks.hint("merge").join(lists, "block").hint("merge").join(met, ["id1", "block"], "left")
     return rows.select("id1", F.explode(F.array_except("ids", F.coalesce("met", F.array().cast("array<long>")))).alias("id2"))
 
 
 def disjoint_counts(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> DataFrame:
     """(id1, n_disjoint): for each object of a, how many of b it has no point in common with."""
     near = spatial_join(a, b, "st_intersects", solid=True, grid=grid).groupBy("id1").agg(F.count("*").alias("n"))
-    rows = a.select(F.col("object_id").alias("id1")).join(near, "id1", "left")
+    rows = a.select(F.col("object_id").alias("id1")).hint("merge").join(near, "id1", "left")
     return rows.select("id1", (F.lit(b.count()) - F.coalesce("n", F.lit(0))).cast("long").alias("n_disjoint"))
 
 
@@ -139,11 +193,11 @@ def pairs_per_tile(a: DataFrame, b: DataFrame, grid: Grid) -> DataFrame:
     """(tile_id, n1, n2, pairs): objects of either side and pairs of meeting boxes in each cell that has both sides."""
     left = assign_grid(a.select("object_id", *MBB), grid)
     right = assign_grid(b.select("object_id", *MBB), grid)
-    n = left.groupBy("cell").agg(F.count("*").alias("n1")).join(right.groupBy("cell").agg(F.count("*").alias("n2")), "cell")
+    n = left.groupBy("cell").agg(F.count("*").alias("n1")).hint("merge").join(right.groupBy("cell").agg(F.count("*").alias("n2")), "cell")
     x = left.select("cell", *(F.col(c).alias(f"a_{c}") for c in MBB))
     y = right.select("cell", *(F.col(c).alias(f"b_{c}") for c in MBB))
-    hits = x.join(y, "cell").where(overlap("a_", "b_")).groupBy("cell").agg(F.count("*").alias("pairs"))
-    return n.join(hits, "cell", "left").select(F.col("cell").cast("string").alias("tile_id"), "n1", "n2", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    hits = x.hint("merge").join(y, "cell").where(overlap("a_", "b_")).groupBy("cell").agg(F.count("*").alias("pairs"))
+    return n.hint("merge").join(hits, "cell", "left").select(F.col("cell").cast("string").alias("tile_id"), "n1", "n2", F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -151,4 +205,4 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.dropDuplicates(["id1", "id2"])
 
 
-__all__ = ["candidates", "default_grid", "disjoint_counts", "distinct_pairs", "pairs_per_tile", "space_extent", "spatial_join", "tile_candidates", "with_meshes"]
+__all__ = ["candidates", "default_grid", "disjoint_counts", "distinct_pairs", "pairs_per_tile", "space_extent", "solid_pairs", "spatial_join", "tile_candidates", "with_meshes"]

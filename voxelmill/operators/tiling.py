@@ -23,7 +23,7 @@ def centers(boxes: DataFrame) -> DataFrame:
     return boxes.select("*", *(((F.col(lo) + F.col(h)) / 2).alias(f"c{lo[-1]}") for lo, h in zip(LOW, HIGH, strict=True)))
 
 
-def _range(grid: Grid, k: int, lo: Column, hi: Column) -> Column:
+def axis_cells(grid: Grid, k: int, lo: Column, hi: Column) -> Column:
     """Cells along an axis whose closed interval [i*w+low, (i+1)*w+low] meets [lo, hi]; ends clamp to the grid, so no
     box is lost. The quotient is corrected by the edges themselves, which decide."""
     low, w, n = F.lit(float(grid.low[k])), F.lit(float(grid.width[k])), grid.shape[k]
@@ -40,7 +40,7 @@ def assign_grid(boxes: DataFrame, grid: Grid) -> DataFrame:
     """A row per box and grid cell it touches, with ``cell`` (the number of Grid.tiles). No join: arithmetic and explode."""
     out = boxes
     for k, name in enumerate(("_i", "_j", "_k")):
-        out = out.withColumn(name, F.explode(_range(grid, k, F.col(LOW[k]), F.col(HIGH[k]))))
+        out = out.withColumn(name, F.explode(axis_cells(grid, k, F.col(LOW[k]), F.col(HIGH[k]))))
     _, ny, nz = grid.shape
     return out.withColumn("cell", (F.col("_i") * ny + F.col("_j")) * nz + F.col("_k")).drop("_i", "_j", "_k")
 
@@ -71,8 +71,13 @@ def reference_cell(grid: Grid, point: list[Column]) -> Column:
     """The one cell that a point belongs to: half-open cells, the last closed, outside points clamped."""
     out = F.lit(0).cast("long")
     for k in range(3):
-        low, w = F.lit(float(grid.low[k])), F.lit(float(grid.width[k]))
-        i = F.floor((point[k] - low) / w)
-        i = F.when((i + 1) * w + low <= point[k], i + 1).when(i * w + low > point[k], i - 1).otherwise(i)
-        out = out * grid.shape[k] + F.greatest(F.lit(0).cast("long"), F.least(F.lit(grid.shape[k] - 1).cast("long"), i.cast("long")))
+        out = out * grid.shape[k] + axis_reference(grid, k, point[k])
     return out
+
+
+def axis_reference(grid: Grid, k: int, at: Column) -> Column:
+    """The number along an axis of the cell that a coordinate belongs to."""
+    low, w = F.lit(float(grid.low[k])), F.lit(float(grid.width[k]))
+    i = F.floor((at - low) / w)
+    i = F.when((i + 1) * w + low <= at, i + 1).when(i * w + low > at, i - 1).otherwise(i)
+    return F.greatest(F.lit(0).cast("long"), F.least(F.lit(grid.shape[k] - 1).cast("long"), i.cast("long")))
