@@ -93,3 +93,18 @@ NEAREST = ["nn_surface", "nn_tile_candidates", "nn_voronoi", "nn_candidates_k2",
 def test_no_side_is_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("rows", [2048, 50])
+def test_cells_are_dealt_out_once(spark, monkeypatch, rows):
+    """Each side meets in its own exchange by number. Constant blocks took a second one, which adaptive execution merged into few
+    large tasks (2,605 MB of an executor over 60 copies of sf0.1)."""
+    monkeypatch.setattr(cells, "ROWS", rows)
+    plan = catalog.QUERIES["st_within"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(cell") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_small_files_are_dealt_out(spark):
+    """Rows of one file become meshes in more than one task."""
+    assert catalog.boxes(spark, SF, 1).rdd.getNumPartitions() == 1
+    assert catalog.solids(spark, SF, 1).rdd.getNumPartitions() > 1

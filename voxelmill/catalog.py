@@ -34,12 +34,19 @@ def boxes(spark: SparkSession, sf_dir: str, dataset: int) -> DataFrame:
     return rows.select("object_id", "dataset_id", *LOW, *((F.col(lo) + F.col("edge")).alias(h) for lo, h in zip(LOW, HIGH, strict=True)))
 
 
+def _dealt_out(rows: DataFrame) -> DataFrame:
+    """Rows of few files dealt out by id while they are small: each becomes a mesh and then its copies in cells, some 30 times its
+    bytes, which would all be made by the few tasks that read the files."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * least else rows.repartition(4 * least, "object_id")
+
+
 def solids(spark: SparkSession, sf_dir: str, dataset: int) -> DataFrame:
     """Boxes with their meshes."""
     corner = lambda n: F.struct(*(F.col((HIGH if n >> k & 1 else LOW)[k]).alias("xyz"[k]) for k in range(3)))
     faces = F.lit([v for f in _CUBE for v in f])
     faces = F.transform(F.sequence(F.lit(0), F.lit(len(_CUBE) - 1)), lambda i: F.slice(faces, i * 3 + 1, F.lit(3)))
-    return boxes(spark, sf_dir, dataset).withColumn("mesh", F.struct(F.array(*(corner(n) for n in range(8))).alias("vertices"), faces.alias("faces")))
+    return _dealt_out(boxes(spark, sf_dir, dataset)).withColumn("mesh", F.struct(F.array(*(corner(n) for n in range(8))).alias("vertices"), faces.alias("faces")))
 
 
 def turned(spark: SparkSession, sf_dir: str, dataset: int) -> DataFrame:

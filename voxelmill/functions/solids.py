@@ -153,8 +153,8 @@ def meeting(a: np.ndarray, b: np.ndarray, most: int = 1 << 20):
 
 def gaps2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distance of boxes, pairwise."""
-    d = np.maximum(np.maximum(a[:, :3] - b[:, 3:], b[:, :3] - a[:, 3:]), 0)
-    return d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+    x, y, z = (np.maximum(np.maximum(a[:, c] - b[:, 3 + c], b[:, c] - a[:, 3 + c]), 0) for c in range(3))
+    return x * x + y * y + z * z
 
 
 def _tolerance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,15 +163,16 @@ def _tolerance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _box_relations(a: np.ndarray, b: np.ndarray):
     """``geometry.relation`` of solids that are boxes; whether faces share a patch, for those that touch."""
-    la, ha, lb, hb = a[:, :3], a[:, 3:], b[:, :3], b[:, 3:]
-    tol = _tolerance(a, b)[:, None]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)  # a row per axis: sums over three columns cost far more
+    la, ha, lb, hb = a[:3], a[3:], b[:3], b[3:]
+    tol = g.EPS * np.maximum(np.abs(a).max(axis=0), np.abs(b).max(axis=0))
     d = np.minimum(ha, hb) - np.maximum(la, lb)
-    held = ((la > lb + tol) & (ha < hb - tol)).all(axis=1) | ((lb > la + tol) & (hb < ha - tol)).all(axis=1)
-    surface = (d >= -tol).all(axis=1) & ~held
-    v, va, vb = np.prod(np.maximum(d, 0), axis=1), np.prod(ha - la, axis=1), np.prod(hb - lb, axis=1)
+    held = ((la > lb + tol) & (ha < hb - tol)).all(axis=0) | ((lb > la + tol) & (hb < ha - tol)).all(axis=0)
+    surface = (d >= -tol).all(axis=0) & ~held
+    v, va, vb = np.prod(np.maximum(d, 0), axis=0), np.prod(ha - la, axis=0), np.prod(hb - lb, axis=0)
     slack = 1e-7 * np.minimum(va, vb)
     interior = v > slack
-    patch = surface & ~interior & ((d > tol).sum(axis=1) == 2)
+    patch = surface & ~interior & ((d > tol).sum(axis=0) == 2)
     return surface, interior, interior & (v >= va - slack), interior & (v >= vb - slack), patch
 
 

@@ -74,18 +74,20 @@ def cell_by_cell(left: DataFrame, right: DataFrame, f: Callable, schema) -> Data
     heavy = Scratch(spark).table(count.where("_n1 > 1 or _n2 > 1"), "heavy")
     many = heavy.count()
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # no constant blocks where no cell is heavy: rows dealt out by constants would be dealt out once more, by columns
+    keys = ["cell", "_b1", "_b2"] if many else ["cell"]
 
     def dealt(side, own, other, key):
         side = side.drop("_bytes")
         if not many:
-            return side.withColumns({"_b1": F.lit(0), "_b2": F.lit(0)}).repartition(parts, "cell", "_b1", "_b2")
+            return side.repartition(parts, *keys)
         side = side.join(F.broadcast(heavy) if many <= HEAVY else heavy.hint("merge"), "cell", "left")
         block = F.pmod(F.xxhash64(key), F.coalesce(f"_n{own}", F.lit(1))).cast("int")
         side = side.withColumns({f"_b{own}": block, f"_b{other}": F.explode(F.sequence(F.lit(0), F.coalesce(f"_n{other}", F.lit(1)) - 1))})
-        return side.drop("_n1", "_n2").repartition(parts, "cell", "_b1", "_b2")
+        return side.drop("_n1", "_n2").repartition(parts, *keys)
 
     # partitions by number: adaptive execution would merge them by their bytes, which say little about the work
-    a, b = (dealt(x, own, other, key).groupBy("cell", "_b1", "_b2") for x, own, other, key in ((left, 1, 2, "id1"), (right, 2, 1, "id2")))
+    a, b = (dealt(x, own, other, key).groupBy(*keys) for x, own, other, key in ((left, 1, 2, "id1"), (right, 2, 1, "id2")))
     return a.cogroup(b).applyInArrow(f, schema)
 
 

@@ -127,11 +127,12 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", d
 
 def _fits(predicate: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``FILTER`` on pairs of boxes."""
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     if predicate == "st_contains":
-        return (a[:, :3] <= b[:, :3]).all(axis=1) & (b[:, 3:] <= a[:, 3:]).all(axis=1)
+        return (a[:3] <= b[:3]).all(axis=0) & (b[3:] <= a[3:]).all(axis=0)
     if predicate == "st_within":
-        return (b[:, :3] <= a[:, :3]).all(axis=1) & (a[:, 3:] <= b[:, 3:]).all(axis=1)
-    return (np.abs(a - b) <= 1e-9 * (1 + np.abs(a))).all(axis=1)
+        return (b[:3] <= a[:3]).all(axis=0) & (a[3:] <= b[3:]).all(axis=0)
+    return (np.abs(a - b) <= 1e-9 * (1 + np.abs(a))).all(axis=0)
 
 
 def solid_pairs(a: DataFrame, b: DataFrame, predicate: str, distance: float = 0.0, solid: bool = False, grid: Grid | None = None, volumes: bool = False, tiles: DataFrame | None = None) -> DataFrame:
