@@ -132,29 +132,33 @@ def meeting(a: np.ndarray, b: np.ndarray, most: int = 1 << 20):
     if not len(a) or not len(b):
         return
     oa, ob = np.argsort(a[:, 0], kind="stable"), np.argsort(b[:, 0], kind="stable")
-    a, b = a[oa], b[ob]
-    wide, at = (b[:, 3] - b[:, 0]).max(), 0
-    step = max(1, most // len(b))
-    while at < len(a):
-        part = a[at : at + step]
-        x, y = np.searchsorted(b[:, 0], [part[0, 0] - wide * (1 + 1e-9) - 1e-9 * abs(part[0, 0]), part[:, 3].max()], "left")
-        y = np.searchsorted(b[:, 0], part[:, 3].max(), "right")
-        near = b[x:y]
-        hit = part[:, 0, None] <= near[None, :, 3]
-        hit &= part[:, 3, None] >= near[None, :, 0]
+    a, b = np.ascontiguousarray(a[oa].T), np.ascontiguousarray(b[ob].T)  # a row per axis: columns apart in memory cost twice as much
+    wide, at = (b[3] - b[0]).max(), 0
+    step = max(1, min(256, most // b.shape[1]))
+    while at < a.shape[1]:
+        part = a[:, at : at + step]
+        x = np.searchsorted(b[0], part[0, 0] - wide * (1 + 1e-9) - 1e-9 * abs(part[0, 0]), "left")
+        y = np.searchsorted(b[0], part[3].max(), "right")
+        near = b[:, x:y]
+        hit = part[0, :, None] <= near[3]
+        hit &= part[3, :, None] >= near[0]
         for c in (1, 2):
-            hit &= part[:, c, None] <= near[None, :, 3 + c]
-            hit &= part[:, 3 + c, None] >= near[None, :, c]
-        i, j = np.nonzero(hit)
-        if len(i):
+            hit &= part[c, :, None] <= near[3 + c]
+            hit &= part[3 + c, :, None] >= near[c]
+        found = np.flatnonzero(hit)
+        if len(found):
+            i, j = np.divmod(found, y - x)
             yield oa[at + i], ob[x + j]
         at += step
 
 
-def gaps2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distance of boxes, pairwise."""
-    x, y, z = (np.maximum(np.maximum(a[:, c] - b[:, 3 + c], b[:, c] - a[:, 3 + c]), 0) for c in range(3))
-    return x * x + y * y + z * z
+def gaps2(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distance of boxes a[i] and b[j], pairwise."""
+    a, b, out = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), 0.0
+    for c in range(3):
+        d = np.maximum(np.maximum(a[c][i] - b[3 + c][j], b[c][j] - a[3 + c][i]), 0)
+        out = out + d * d
+    return out
 
 
 def _tolerance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -316,10 +320,10 @@ def holds(name: str, a: Solids, b: Solids, i: np.ndarray, j: np.ndarray, distanc
 def _within(a: Solids, b: Solids, i: np.ndarray, j: np.ndarray, distance: float) -> np.ndarray:
     reach, out = distance * (1 + 1e-12), np.zeros(len(i), bool)
     box, convex, rest = _parted(a, b, i, j)
-    out[box] = np.sqrt(gaps2(a.box[i[box]], b.box[j[box]])) <= reach
+    out[box] = np.sqrt(gaps2(a.box, b.box, i[box], j[box])) <= reach
     for at in range(0, len(convex), PAIRS):
         k = convex[at : at + PAIRS]
-        k = k[np.sqrt(gaps2(a.box[i[k]], b.box[j[k]])) <= reach]
+        k = k[np.sqrt(gaps2(a.box, b.box, i[k], j[k])) <= reach]
         if not len(k):
             continue
         *_, gap, _ = _convex_relations(a, b, i[k], j[k])
@@ -337,7 +341,7 @@ def distances(a: Solids, b: Solids, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """``geometry.solid_distance`` of solids a[i] and b[j], pairwise."""
     out = np.zeros(len(i))
     box, convex, rest = _parted(a, b, i, j)
-    out[box] = np.sqrt(gaps2(a.box[i[box]], b.box[j[box]]))
+    out[box] = np.sqrt(gaps2(a.box, b.box, i[box], j[box]))
     for at in range(0, len(convex), PAIRS):
         k = convex[at : at + PAIRS]
         *_, gap, _ = _convex_relations(a, b, i[k], j[k])
@@ -355,7 +359,7 @@ def point_distances(p: np.ndarray, b: Solids, i: np.ndarray, j: np.ndarray) -> n
     q, own = p[i[box]], b.box[j[box]]
     low, high = q - own[:, :3], own[:, 3:] - q
     deep = np.minimum(low, high).min(axis=1)
-    out[box] = np.where(deep > 0, deep, np.sqrt(gaps2(np.concatenate([q, q], axis=1), own)))
+    out[box] = np.where(deep > 0, deep, np.sqrt(gaps2(np.concatenate([p, p], axis=1), b.box, i[box], j[box])))
     rest, at = np.flatnonzero(~box), 0
     mesh = {k: b.tri(k) for k in set(j[rest].tolist())}
     while at < len(rest):  # many small meshes in one sweep
@@ -375,13 +379,14 @@ def volumes(a: Solids, b: Solids, i: np.ndarray, j: np.ndarray) -> tuple[np.ndar
     own = []
     for s, n in ((a, i), (b, j)):
         vol = np.prod(s.box[:, 3:] - s.box[:, :3], axis=1)
-        for k in np.unique(n):
-            if not s.is_box[k]:
+        if not s.is_box.all():
+            for k in np.unique(n[~s.is_box[n]]):
                 vol[k] = g.volume(s.tri(k))
         own.append(vol[n])
-    box = a.is_box[i] & b.is_box[j]
-    x, y = a.box[i], b.box[j]
-    both = np.prod(np.maximum(np.minimum(x[:, 3:], y[:, 3:]) - np.maximum(x[:, :3], y[:, :3]), 0), axis=1)
+    box, both = a.is_box[i] & b.is_box[j], 1.0
+    x, y = np.ascontiguousarray(a.box.T), np.ascontiguousarray(b.box.T)
+    for c in range(3):
+        both = both * np.maximum(np.minimum(x[3 + c][i], y[3 + c][j]) - np.maximum(x[c][i], y[c][j]), 0)
     rest = np.flatnonzero(~box)
     both[rest] = [g.intersection_volume(p, q) for p, q in _meshes(a, b, i[rest], j[rest])]
     return *own, both
