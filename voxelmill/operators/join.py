@@ -135,8 +135,9 @@ def _fits(predicate: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.abs(a - b) <= 1e-9 * (1 + np.abs(a))).all(axis=0)
 
 
-def solid_pairs(a: DataFrame, b: DataFrame, predicate: str, distance: float = 0.0, solid: bool = False, grid: Grid | None = None, volumes: bool = False, tiles: DataFrame | None = None) -> DataFrame:
-    """``spatial_join`` of sides with meshes, cell by cell."""
+def solid_pairs(a: DataFrame, b: DataFrame, predicate: str, distance: float = 0.0, solid: bool = False, grid: Grid | None = None, volumes: bool = False, tiles: DataFrame | None = None, counts: bool = False) -> DataFrame:
+    """``spatial_join`` of sides with meshes, cell by cell; with ``counts`` (id1, n) instead: the pairs of an object in a cell, a
+    row for each cell that it has some in."""
     ext = None if tiles is None else space_extent(tiles).first()
     left, right = cells.packed(a, "id1"), cells.packed(b, "id2")
     if distance:
@@ -146,13 +147,13 @@ def solid_pairs(a: DataFrame, b: DataFrame, predicate: str, distance: float = 0.
         left, right = cells.on_grid(left, grid), cells.on_grid(right, grid)
     else:
         left, right = cells.on_tiles(left, tiles, ext), cells.on_tiles(right, tiles, ext)
-    fields = [left.schema["id1"], right.schema["id2"]]
+    fields = [left.schema["id1"], types.StructField("n", types.LongType()) if counts else right.schema["id2"]]
     if volumes:
         fields += [types.StructField(c, types.DoubleType()) for c in ("vol1", "vol2", "vol_intersection")]
     filtered, step = predicate in FILTER, 1 << 18
 
     def test(x: pa.Table, y: pa.Table) -> pa.Table:
-        out = []
+        out, n = [], np.zeros(x.num_rows, np.int64)
         if x.num_rows and y.num_rows:
             boxes1, boxes2 = cells.matrix(x, MBB), cells.matrix(y, MBB)
             one, two = S.Solids(x["mesh"]), S.Solids(y["mesh"])
@@ -164,7 +165,13 @@ def solid_pairs(a: DataFrame, b: DataFrame, predicate: str, distance: float = 0.
                         i, j = i[fit], j[fit]
                     hit = S.holds(predicate, one, two, i, j, distance, solid)
                     i, j = i[hit], j[hit]
-                    out.append((i, j, *(S.volumes(one, two, i, j) if volumes else ())))
+                    if counts:
+                        n += np.bincount(i, minlength=len(n))
+                    else:
+                        out.append((i, j, *(S.volumes(one, two, i, j) if volumes else ())))
+        if counts:
+            some = np.flatnonzero(n)
+            return pa.table({"id1": x["id1"].take(pa.array(some)), "n": pa.array(n[some])})
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * (len(fields) - 2)
         return pa.table({"id1": x["id1"].take(pa.array(columns[0])), "id2": y["id2"].take(pa.array(columns[1]))} | {f.name: pa.array(c) for f, c in zip(fields[2:], columns[2:], strict=True)})
 
@@ -185,7 +192,10 @@ def disjoint_pairs(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> Data
 
 def disjoint_counts(a: DataFrame, b: DataFrame, grid: Grid | None = None) -> DataFrame:
     """(id1, n_disjoint): for each object of a, how many of b it has no point in common with."""
-    near = spatial_join(a, b, "st_intersects", solid=True, grid=grid).groupBy("id1").agg(F.count("*").alias("n"))
+    if all("mesh" in side.columns for side in (a, b)):  # pairs are counted where they are found
+        near = solid_pairs(a, b, "st_intersects", solid=True, grid=grid, counts=True).groupBy("id1").agg(F.sum("n").alias("n"))
+    else:
+        near = spatial_join(a, b, "st_intersects", solid=True, grid=grid).groupBy("id1").agg(F.count("*").alias("n"))
     rows = a.select(F.col("object_id").alias("id1")).hint("merge").join(near, "id1", "left")
     return rows.select("id1", (F.lit(b.count()) - F.coalesce("n", F.lit(0))).cast("long").alias("n_disjoint"))
 
