@@ -55,6 +55,31 @@ def _distinct(d: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(d, order[:, :, None], axis=1)[:, : max(1, n.max(initial=0))], n
 
 
+def _forms(faces: np.ndarray, sides: np.ndarray, up: np.ndarray, n: int):
+    """Of solids with the same faces and the same vectors along their sides, which differ in place alone, once: outward normals,
+    distinct directions of faces and of bent edges, ends of those, whether it has areas and few directions; each solid's form."""
+    k = len(faces)
+    key = np.ascontiguousarray(np.concatenate([faces.reshape(k, -1).astype(np.float64), sides.reshape(k, -1), up[:, None]], axis=1))
+    _, one, form = np.unique(key.view(f"V{key.shape[1] * 8}")[:, 0], return_index=True, return_inverse=True)
+    faces, sides, up, k = faces[one], sides[one], up[one], len(one)
+    normal = np.cross(sides[:, :, 0], -sides[:, :, 2])
+    size = np.linalg.norm(normal, axis=2, keepdims=True)
+    normal = normal / np.where(size > 0, size, 1) * up[:, None, None]
+    turn, row = np.roll(faces, -1, axis=2), np.arange(k)[:, None]
+    code = (np.minimum(faces, turn) * n + np.maximum(faces, turn)).reshape(k, -1)
+    order = np.argsort(code, axis=1, kind="stable").reshape(k, -1, 2)  # each edge has two triangles
+    bend = np.linalg.norm(np.cross(normal[row, order[:, :, 0] // 3], normal[row, order[:, :, 1] // 3]), axis=2) > 1e-9
+    first, last = (np.take_along_axis(x.reshape(k, -1), order[:, :, 0], axis=1) for x in (faces, turn))
+    edge = sides.reshape(k, -1, 3)[row, order[:, :, 0]]
+    long = np.linalg.norm(edge, axis=2, keepdims=True)
+    edge = edge / np.where(long > 0, long, 1)
+    (faced, nf), (edged, ne) = _distinct(normal, np.ones(normal.shape[:2], bool)), _distinct(edge, bend)
+    bent = np.argsort(~bend, axis=1, kind="stable")[:, : bend.sum(axis=1).max()]
+    bent = np.where(np.take_along_axis(bend, bent, axis=1), bent, bent[:, :1])
+    ok = (size > 0).all(axis=(1, 2)) & (nf <= DIRECTIONS) & (ne <= DIRECTIONS)
+    return normal, faced[:, :DIRECTIONS], edged[:, :DIRECTIONS], np.take_along_axis(first, bent, axis=1), np.take_along_axis(last, bent, axis=1), ok, form
+
+
 class Solids:
     """A column of packed meshes: ``box`` (n, 6), ``usable`` (has triangles), ``is_box`` (a closed solid that is its own box)."""
 
@@ -85,30 +110,17 @@ class Solids:
         n, parts = len(self.mesh), []
         convex = np.zeros(n, bool)
         for own, v, faces, tri, vol, ok in self._parts:
-            normal = np.cross(tri[:, :, 1] - tri[:, :, 0], tri[:, :, 2] - tri[:, :, 0])
-            size = np.linalg.norm(normal, axis=2, keepdims=True)
-            ok = ok & (size > 0).all(axis=(1, 2)) & np.isfinite(v).all(axis=(1, 2)) & (vol != 0)
-            normal = normal / np.where(size > 0, size, 1) * np.sign(vol)[:, None, None]
-            rise = np.einsum("kti,kvi->ktv", normal, v).max(axis=2) - np.einsum("kti,kti->kt", normal, tri[:, :, 0])
-            ok &= (rise <= g.EPS * np.abs(v).max(axis=(1, 2))[:, None]).all(axis=1)
+            ok = ok & np.isfinite(v).all(axis=(1, 2)) & (vol != 0)
             if not ok.any():
                 continue
-            own, v, faces, normal, tri = own[ok], v[ok], faces[ok], normal[ok], tri[ok]
-            k, turn = len(own), np.roll(faces, -1, axis=2)
-            code = (np.minimum(faces, turn) * v.shape[1] + np.maximum(faces, turn)).reshape(k, -1)
-            order = np.argsort(code, axis=1, kind="stable").reshape(k, -1, 2)  # each edge has two triangles
-            row = np.arange(k)[:, None]
-            bend = np.linalg.norm(np.cross(normal[row, order[:, :, 0] // 3], normal[row, order[:, :, 1] // 3]), axis=2) > 1e-9
-            s, t = (np.take_along_axis(x.reshape(k, -1), order[:, :, 0], axis=1) for x in (faces, turn))
-            edge = v[row, t] - v[row, s]
-            edge = edge / np.linalg.norm(edge, axis=2, keepdims=True)
-            (faced, nf), (edged, ne) = _distinct(normal, np.ones(normal.shape[:2], bool)), _distinct(edge, bend)
-            bent = np.argsort(~bend, axis=1, kind="stable")[:, : bend.sum(axis=1).max()]
-            bent = np.where(np.take_along_axis(bend, bent, axis=1), bent, bent[:, :1])
-            ends = np.stack([v[row, np.take_along_axis(x, bent, axis=1)] for x in (s, t)], axis=2)
-            few = (nf <= DIRECTIONS) & (ne <= DIRECTIONS)
-            convex[own[few]] = True
-            parts.append((own[few], v[few], faced[few, :DIRECTIONS], edged[few, :DIRECTIONS], tri[few], normal[few], ends[few]))
+            own, v, faces, tri, up = own[ok], v[ok], faces[ok], tri[ok], np.sign(vol[ok])
+            normal, faced, edged, first, last, ok, form = _forms(faces, np.roll(tri, -1, axis=2) - tri, up, v.shape[1])
+            normal, ok = normal[form], ok[form]
+            rise = np.matmul(normal, v.transpose(0, 2, 1)).max(axis=2) - np.einsum("kti,kti->kt", normal, tri[:, :, 0])
+            ok &= (rise <= g.EPS * np.abs(v).max(axis=(1, 2))[:, None]).all(axis=1)
+            own, v, form = own[ok], v[ok], form[ok]
+            convex[own], row = True, np.arange(len(own))[:, None]
+            parts.append((own, v, faced[form], edged[form], tri[ok], normal[ok], np.stack([v[row, x[form]] for x in (first, last)], axis=2)))
         out = [np.zeros((n, max((len(p[c][0]) if len(p[c]) else 1 for p in parts), default=1), *end)) for c, end in enumerate(((3,), (3,), (3,), (3, 3), (3,), (2, 3)), 1)]
         for own, *columns in parts:
             if not len(own):
@@ -152,6 +164,34 @@ def meeting(a: np.ndarray, b: np.ndarray, most: int = 1 << 20):
         at += step
 
 
+def holding(a: np.ndarray, b: np.ndarray, most: int = 1 << 20):
+    """As ``meeting``, pairs where box a[i] holds box b[j], borders included."""
+    if not len(a) or not len(b):
+        return
+    oa, ob = np.argsort(a[:, 0], kind="stable"), np.argsort(b[:, 0], kind="stable")
+    a, b = np.ascontiguousarray(a[oa].T), np.ascontiguousarray(b[ob].T)
+    step = max(1, min(256, most // b.shape[1]))
+    for at in range(0, a.shape[1], step):
+        part = a[:, at : at + step]
+        x, y = np.searchsorted(b[0], part[0, 0], "left"), np.searchsorted(b[0], part[3].max(), "right")
+        near = b[:, x:y]
+        hit = part[3, :, None] >= near[3]
+        for c in (0, 1, 2):
+            hit &= part[c, :, None] <= near[c]
+            if c:
+                hit &= part[3 + c, :, None] >= near[3 + c]
+        found = np.flatnonzero(hit)
+        if len(found):
+            i, j = np.divmod(found, y - x)
+            yield oa[at + i], ob[x + j]
+
+
+def held(a: np.ndarray, b: np.ndarray, most: int = 1 << 20):
+    """As ``holding``, pairs where box b[j] holds box a[i]."""
+    for j, i in holding(b, a, most):
+        yield i, j
+
+
 def gaps2(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Squared distance of boxes a[i] and b[j], pairwise."""
     a, b, out = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), 0.0

@@ -95,11 +95,11 @@ def matrix(rows: pa.Table, columns) -> np.ndarray:
     return np.stack([rows[c].to_numpy() for c in columns], axis=1).astype(np.float64) if rows.num_rows else np.empty((0, len(columns)))
 
 
-def own_pairs(left: pa.Table, right: pa.Table, a: np.ndarray, b: np.ndarray, some: np.ndarray | None = None, other: np.ndarray | None = None):
-    """Pairs of meeting boxes that belong to the cell, in parts; ``some`` and ``other``: the rows that count."""
+def own_pairs(left: pa.Table, right: pa.Table, a: np.ndarray, b: np.ndarray, some: np.ndarray | None = None, other: np.ndarray | None = None, sweep: Callable = S.meeting):
+    """Pairs of meeting boxes (or others by ``sweep``) that belong to the cell, in parts; ``some`` and ``other``: the rows that count."""
     x, y = (np.arange(len(m)) if s is None else np.flatnonzero(s) for m, s in ((a, some), (b, other)))
     fa, fb = left["_from"].to_numpy(), right["_from"].to_numpy()
-    for i, j in S.meeting(a[x], b[y]):
+    for i, j in sweep(a[x], b[y]):
         i, j = x[i], y[j]
         own = (fa[i] | fb[j]) == 7
         if own.any():

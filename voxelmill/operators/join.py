@@ -125,13 +125,9 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "st_intersects", d
     return rows.select("id1", "id2")
 
 
-def _fits(predicate: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``FILTER`` on pairs of boxes."""
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``FILTER`` of equal solids on pairs of boxes."""
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    if predicate == "st_contains":
-        return (a[:3] <= b[:3]).all(axis=0) & (b[3:] <= a[3:]).all(axis=0)
-    if predicate == "st_within":
-        return (b[:3] <= a[:3]).all(axis=0) & (a[3:] <= b[3:]).all(axis=0)
     return (np.abs(a - b) <= 1e-9 * (1 + np.abs(a))).all(axis=0)
 
 
@@ -147,22 +143,39 @@ def solid_pairs(a: DataFrame, b: DataFrame, predicate: str, distance: float = 0.
         left, right = cells.on_grid(left, grid), cells.on_grid(right, grid)
     else:
         left, right = cells.on_tiles(left, tiles, ext), cells.on_tiles(right, tiles, ext)
+    # the larger low corner is that of the solid that lies in the other, which therefore has all its pairs in one cell
+    if predicate == "st_contains":
+        right = right.where("_from = 7")
+    elif predicate == "st_within":
+        left = left.where("_from = 7")
     fields = [left.schema["id1"], types.StructField("n", types.LongType()) if counts else right.schema["id2"]]
     if volumes:
         fields += [types.StructField(c, types.DoubleType()) for c in ("vol1", "vol2", "vol_intersection")]
-    filtered, step = predicate in FILTER, 1 << 18
+    step, sweep = 1 << 18, {"st_contains": S.holding, "st_within": S.held}.get(predicate, S.meeting)
+
+    def fitting(x, y, boxes1, boxes2, one, two):
+        """Pairs that a predicate's boxes allow; few of many sweeps are put together, as a call for each costs more than they do."""
+        some, n = [], 0
+        for i, j in cells.own_pairs(x, y, boxes1, boxes2, one.usable, two.usable, sweep):
+            if predicate == "st_equals":
+                fit = _fits(boxes1[i], boxes2[j])
+                i, j = i[fit], j[fit]
+            some.append((i, j))
+            n += len(i)
+            if n >= step:
+                yield tuple(np.concatenate(c) for c in zip(*some, strict=True))
+                some, n = [], 0
+        if n:
+            yield tuple(np.concatenate(c) for c in zip(*some, strict=True))
 
     def test(x: pa.Table, y: pa.Table) -> pa.Table:
         out, n = [], np.zeros(x.num_rows, np.int64)
         if x.num_rows and y.num_rows:
             boxes1, boxes2 = cells.matrix(x, MBB), cells.matrix(y, MBB)
             one, two = S.Solids(x["mesh"]), S.Solids(y["mesh"])
-            for p, q in cells.own_pairs(x, y, boxes1, boxes2, one.usable, two.usable):
+            for p, q in fitting(x, y, boxes1, boxes2, one, two):
                 for at in range(0, len(p), step):
                     i, j = p[at : at + step], q[at : at + step]
-                    if filtered:
-                        fit = _fits(predicate, boxes1[i], boxes2[j])
-                        i, j = i[fit], j[fit]
                     hit = S.holds(predicate, one, two, i, j, distance, solid)
                     i, j = i[hit], j[hit]
                     if counts:
