@@ -13,7 +13,7 @@ from . import codec as c
 from . import frames as fr
 from . import geometry as g
 from . import meshes as m
-from .skeleton import skeleton as skeleton_of
+from .skeleton import skeletons
 
 #: The kernels by name: a function that is sent to a worker must not name a function column of this module.
 K = {f.__name__: f for f in (g.mbb, g.volume, g.area, g.hull_volume, g.centroid, g.intersection_volume, fr.polygon_frames, fr.vertex_normals, m.parse_off, m.to_off, c.encode, c.decode, c.quantize)}
@@ -216,7 +216,11 @@ def quantize(mesh: pa.Array) -> pa.Array:
 
 @arrow_udf(T.ArrayType(POINT))
 def skeleton(mesh: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else [dict(zip("xyz", p, strict=True)) for p in skeleton_of(*r).tolist()] for r in m.raw_of(mesh)], pa.list_(m.POINT))
+    found = skeletons(m.raw_of(mesh, lists=False))
+    stop = np.cumsum([0] + [0 if p is None else len(p) for p in found])
+    points = np.concatenate([np.empty((0, 3)), *(p for p in found if p is not None)])
+    values = pa.StructArray.from_arrays([pa.array(points[:, c]) for c in range(3)], fields=list(m.POINT))
+    return pa.ListArray.from_arrays(pa.array(stop, pa.int32()), values, mask=pa.array([p is None for p in found], pa.bool_()))
 
 
 @arrow_udf(_BOOL)
