@@ -303,6 +303,22 @@ def windows_of(rows, docs):
     return rows.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
 
 
+def test_pieces_are_looked_up_once(spark, monkeypatch):
+    """op5: ids of whole texts, with a piece looked up once for all texts and letters parted from the signs behind them."""
+    from tokenizers import Tokenizer
+
+    rng, marks = random.Random(3), ["", "&&&", "'s", "'t", "&'s", "_", "-", "<|endoftext|>", "<", "|", "\u0338", "\u0301", "=\u0338", "é", "Σ", "1", "(", "'re,", "`", "\xa0", "\u2003", "\x0b", "\x1f", "\x85"]
+    texts = [None, "", " \n", *(rng.choice(["", " "]).join(rng.choice(["word", "Été", "ß", "a", "don", "ΑΣ", "ÿ"]) + rng.choice(marks) + rng.choice(["", " ", "\t"]) for _ in range(40)) for _ in range(300)), "", None]
+    tokenizer, seen = packing.PieceTokenizer(tokenizer_path()), []
+    own = packing.Vocabulary.number
+    monkeypatch.setattr(packing.Vocabulary, "number", lambda self, words: seen.extend(words) or own(self, words))
+    got = tokenizer.encode(texts)
+    whole = Tokenizer.from_file(tokenizer_path())
+    assert [x.tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(seen) == len(set(seen)) and b"word" in seen and b"word&&&" not in seen
+    assert [len(x) for x in tokenizer.encode([None, ""])] == [0, 0] and tokenizer.encode([]) == []
+
+
 def test_packing_of_more_sources_than_queues(spark):
     docs = read(spark, "documents").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 23)))
     got = windows_of(packing.pack(docs, tokenizer_path(), max_queues=6).toPandas(), docs.select("doc_id", "source").toPandas())
