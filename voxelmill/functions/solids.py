@@ -15,6 +15,8 @@ from .meshes import unpack
 TRIANGLES, DIRECTIONS = 32, 12
 #: Pairs that a sweep takes at once.
 PAIRS = 4096
+#: Frames in which bricks of two columns are measured; bricks in others are convex solids as any.
+FRAMES = 8
 RELATIONS = ("surface", "interior", "a_in_b", "b_in_a")
 
 
@@ -87,6 +89,7 @@ class Solids:
         self.mesh = mesh.combine_chunks() if isinstance(mesh, pa.ChunkedArray) else mesh
         n = len(self.mesh)
         self.usable, self.is_box, self.box, self._parts = np.zeros(n, bool), np.zeros(n, bool), np.full((n, 6), np.nan), []
+        self._met = None
         for own, v, faces in _shapes(self.mesh):
             tri = v[np.arange(len(own))[:, None, None], faces]
             lo, hi = tri.min(axis=(1, 2)), tri.max(axis=(1, 2))
@@ -135,6 +138,12 @@ class Solids:
     def convex(self) -> np.ndarray:
         return self._convex[0]
 
+    def bricks(self, other: Solids):
+        """``_bricks`` of both, found once."""
+        if self._met is None or self._met[0] is not other:
+            self._met = other, _bricks(self, other)
+        return self._met[1]
+
 
 # -- pairs of boxes ---------------------------------------------------------------------------------------------
 
@@ -220,6 +229,58 @@ def _box_relations(a: np.ndarray, b: np.ndarray):
     return surface, interior, interior & (v >= va - slack), interior & (v >= vb - slack), patch
 
 
+# -- pairs of bricks --------------------------------------------------------------------------------------------
+
+
+def _frame(tri: np.ndarray) -> np.ndarray | None:
+    """Three directions at right angles, two of them sides of a triangle, if it has a right angle."""
+    side = np.roll(tri, -1, axis=0) - tri
+    size = np.linalg.norm(side, axis=1, keepdims=True)
+    side = side / np.where(size > 0, size, 1)
+    flat = np.abs(np.einsum("ki,ki->k", side, np.roll(side, -1, axis=0)))
+    k = int(flat.argmin())
+    if not (size > 0).all() or flat[k] > 1e-12:
+        return None
+    u, w = side[k], side[(k + 1) % 3]
+    up = np.cross(u, w)
+    return np.stack([u, np.cross(up, u), up])
+
+
+def _bricks(a: Solids, b: Solids):
+    """Bricks, that is boxes however turned, in frames that solids of both columns have in common: for a and for b each solid's frame
+    (-1: none) and its box there, seen from a point amid them; how far a distance of two such boxes may be off."""
+    sides = [(np.full(len(s.mesh), -1), np.zeros((len(s.mesh), 6))) for s in (a, b)]
+    rows = [(n, own[some], v[some], faces[some], np.abs(vol[some])) for n, s in enumerate((a, b)) for own, v, faces, _, vol, ok in s._parts
+            if v.shape[1] == 8 and faces.shape[1] == 12 and (some := ok & (vol != 0) & np.isfinite(v).all(axis=(1, 2)) & ~s.is_box[own]).any()]
+    if {r[0] for r in rows} != {0, 1}:
+        return *sides, 0.0
+    n, own, v, faces, vol = (np.concatenate([np.full(len(r[1]), r[0]) for r in rows]), *(np.concatenate([r[c] for r in rows]) for c in (1, 2, 3, 4)))
+    middle = (v.min(axis=(0, 1)) + v.max(axis=(0, 1))) / 2
+    most, v, at, off = 1e-12 * np.abs(v).max(axis=(1, 2)), v - middle, np.arange(len(n)), 0.0
+    for frame in range(FRAMES):
+        if not len(at):
+            break
+        axes = _frame(v[at[0], faces[at[0], 0]])
+        fits = np.zeros(len(at), bool)
+        if axes is not None:
+            p = np.matmul(v[at], axes.T)
+            lo, hi = p.min(axis=1), p.max(axis=1)
+            high = p > ((lo + hi) / 2)[:, None]
+            away = np.where(high, hi[:, None] - p, p - lo[:, None]).max(axis=(1, 2))
+            full = np.prod(hi - lo, axis=1)
+            corners = (1 << (high @ np.array([1, 2, 4]))).sum(axis=1) == 255  # all eight of them
+            codes = high[np.arange(len(at))[:, None, None], faces[at]]
+            flat = (codes.all(axis=2) | ~codes.any(axis=2)).any(axis=2).all(axis=1)  # each triangle lies in a side
+            fits = corners & flat & (away <= most[at]) & (np.abs(vol[at] - full) <= 1e-9 * full)
+            for side, (found, box) in enumerate(sides):
+                k = fits & (n[at] == side)
+                found[own[at[k]]], box[own[at[k]]] = frame, np.concatenate([lo[k], hi[k]], axis=1)
+            off = max(off, away[fits].max(initial=0))
+        fits[0] = True
+        at = at[~fits]
+    return *sides, 2 * np.sqrt(3) * off + 16 * np.finfo(float).eps * np.abs(v).max()
+
+
 # -- pairs of convex solids -------------------------------------------------------------------------------------
 
 
@@ -358,22 +419,32 @@ def holds(name: str, a: Solids, b: Solids, i: np.ndarray, j: np.ndarray, distanc
 
 
 def _within(a: Solids, b: Solids, i: np.ndarray, j: np.ndarray, distance: float) -> np.ndarray:
-    reach, out = distance * (1 + 1e-12), np.zeros(len(i), bool)
+    reach, out, left = distance * (1 + 1e-12), np.zeros(len(i), bool), np.arange(len(i))
+    (fa, pa_), (fb, pb), off = a.bricks(b)
+    if (fa >= 0).any():
+        own = (fa[i] == fb[j]) & (fa[i] >= 0)
+        k = left if own.all() else np.flatnonzero(own)
+        gap = np.sqrt(gaps2(pa_, pb, i[k], j[k]))
+        out[k] = gap <= reach
+        near = k[(gap >= reach - off) & (gap <= max(reach, g.EPS * max(np.nanmax(np.abs(s.box)) for s in (a, b))) + off)]  # left to the tests of convex solids
+        left = np.concatenate([np.flatnonzero(~own), near])
+        i, j = i[left], j[left]
     box, convex, rest = _parted(a, b, i, j)
-    out[box] = np.sqrt(gaps2(a.box, b.box, i[box], j[box])) <= reach
+    out[left[box]] = np.sqrt(gaps2(a.box, b.box, i[box], j[box])) <= reach
     for at in range(0, len(convex), PAIRS):
         k = convex[at : at + PAIRS]
+        out[left[k]] = False
         k = k[np.sqrt(gaps2(a.box, b.box, i[k], j[k])) <= reach]
         if not len(k):
             continue
         *_, gap, _ = _convex_relations(a, b, i[k], j[k])
         tol = _tolerance(a.box[i[k]], b.box[j[k]])
-        out[k[gap <= tol]] = True
+        out[left[k[gap <= tol]]] = True
         k = k[(gap > tol) & (gap <= reach + tol)]  # no distance is below a gap
-        out[k] = np.sqrt(_convex_gaps2(a, b, i[k], j[k], reach * reach, reach * abs(reach))) <= reach
+        out[left[k]] = np.sqrt(_convex_gaps2(a, b, i[k], j[k], reach * reach, reach * abs(reach))) <= reach
     for at in range(0, len(rest), PAIRS):
         k = rest[at : at + PAIRS]
-        out[k] = g.within(_meshes(a, b, i[k], j[k]), distance)
+        out[left[k]] = g.within(_meshes(a, b, i[k], j[k]), distance)
     return out
 
 
