@@ -44,8 +44,7 @@ def _dealt_out(rows: DataFrame) -> DataFrame:
 def solids(spark: SparkSession, sf_dir: str, dataset: int) -> DataFrame:
     """Boxes with their meshes."""
     corner = lambda n: F.struct(*(F.col((HIGH if n >> k & 1 else LOW)[k]).alias("xyz"[k]) for k in range(3)))
-    faces = F.lit([v for f in _CUBE for v in f])
-    faces = F.transform(F.sequence(F.lit(0), F.lit(len(_CUBE) - 1)), lambda i: F.slice(faces, i * 3 + 1, F.lit(3)))
+    faces = F.array(*(F.array(*map(F.lit, f)) for f in _CUBE))  # a constant
     return _dealt_out(boxes(spark, sf_dir, dataset)).withColumn("mesh", F.struct(F.array(*(corner(n) for n in range(8))).alias("vertices"), faces.alias("faces")))
 
 

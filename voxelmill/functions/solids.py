@@ -92,7 +92,8 @@ class Solids:
         self._met = None
         for own, v, faces in _shapes(self.mesh):
             tri = v[np.arange(len(own))[:, None, None], faces]
-            lo, hi = tri.min(axis=(1, 2)), tri.max(axis=(1, 2))
+            flat = np.ascontiguousarray(tri.reshape(len(own), -1, 3).transpose(1, 2, 0))  # a row per corner: over short axes, least and largest cost far more
+            lo, hi = flat.min(axis=0).T, flat.max(axis=0).T
             self.usable[own], self.box[own] = True, np.concatenate([lo, hi], axis=1)
             if faces.shape[1] > TRIANGLES or v.shape[1] > 3 * TRIANGLES:
                 continue
@@ -256,22 +257,21 @@ def _bricks(a: Solids, b: Solids):
         return *sides, 0.0
     n, own, v, faces, vol = (np.concatenate([np.full(len(r[1]), r[0]) for r in rows]), *(np.concatenate([r[c] for r in rows]) for c in (1, 2, 3, 4)))
     middle = (v.min(axis=(0, 1)) + v.max(axis=(0, 1))) / 2
-    most, v, at, off = 1e-12 * np.abs(v).max(axis=(1, 2)), v - middle, np.arange(len(n)), 0.0
+    most, v, at, off = 1e-12 * np.abs(v.reshape(len(v), -1).T.copy()).max(axis=0), v - middle, np.arange(len(n)), 0.0
     for frame in range(FRAMES):
         if not len(at):
             break
         axes = _frame(v[at[0], faces[at[0], 0]])
         fits = np.zeros(len(at), bool)
         if axes is not None:
-            p = np.matmul(v[at], axes.T)
-            lo, hi = p.min(axis=1), p.max(axis=1)
-            high = p > ((lo + hi) / 2)[:, None]
-            away = np.where(high, hi[:, None] - p, p - lo[:, None]).max(axis=(1, 2))
-            full = np.prod(hi - lo, axis=1)
-            corners = (1 << (high @ np.array([1, 2, 4]))).sum(axis=1) == 255  # all eight of them
-            codes = high[np.arange(len(at))[:, None, None], faces[at]]
-            flat = (codes.all(axis=2) | ~codes.any(axis=2)).any(axis=2).all(axis=1)  # each triangle lies in a side
-            fits = corners & flat & (away <= most[at]) & (np.abs(vol[at] - full) <= 1e-9 * full)
+            p = np.ascontiguousarray(np.matmul(v[at], axes.T).transpose(1, 2, 0))
+            lo, hi = p.min(axis=0), p.max(axis=0)
+            high = p > (lo + hi) / 2
+            away, full, lo, hi = np.where(high, hi - p, p - lo).max(axis=(0, 1)), np.prod(hi - lo, axis=0), lo.T, hi.T
+            code = (high[:, 0] | high[:, 1] << 1 | high[:, 2] << 2).astype(np.uint8).T  # which corner each vertex is
+            x, y, z = code[np.arange(len(at))[:, None, None], faces[at]].transpose(2, 0, 1)
+            flat = ((x & y & z | 7 ^ (x | y | z)) > 0).all(axis=1)  # each triangle lies in a side
+            fits = ((1 << code.astype(int)).sum(axis=1) == 255) & flat & (away <= most[at]) & (np.abs(vol[at] - full) <= 1e-9 * full)
             for side, (found, box) in enumerate(sides):
                 k = fits & (n[at] == side)
                 found[own[at[k]]], box[own[at[k]]] = frame, np.concatenate([lo[k], hi[k]], axis=1)
